@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import packing, percentiles, tokenizing
+from loomlake.llm import canonical, packing, percentiles, stuffing, tokenizing
 from loomlake.sources.tables import first_delivery, table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    listed = canonical.reference_list(table(spark, folder, "canonical_values"))
+    listed = [x for x in listed if x[0] in ("insurance_provider", "department", "diagnosis")]
+    visits = table(spark, folder, "visits")
+    values = table(spark, folder, "patients").select(F.lit("insurance_provider").alias("field_name"), F.col("patient_id").alias("record_key"), F.col("insurance_provider").alias("value"))
+    for field in ("department", "diagnosis"):
+        values = values.unionByName(visits.select(F.lit(field).alias("field_name"), F.col("visit_id").alias("record_key"), F.col(field).alias("value")))
+    return canonical.mapped(values, listed).distinct()
+
+
+def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Report of values that denote no entry: how many records of each field."""
+    found = p3_found(spark, folder)
+    return found.groupBy("field_name").agg(F.count("*").alias("n_cases"), F.count_if(F.col("canonical_id") == canonical.NONE).alias("n_unmatched"))
+
+
 def _load_state(spark: SparkSession, folder: str) -> DataFrame:
     records = first_delivery(table(spark, folder, "visits"), "visit_id", ["department", "bill_amount"])
     return percentiles.load_state(records, "department", "bill_amount")
@@ -48,11 +64,18 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(_placed(spark, folder))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_unmatched": p3_unmatched,
     "p5_percentiles": p5_percentiles,
     "p5_load_percentiles": p5_load_percentiles,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
 }
