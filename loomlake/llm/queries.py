@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import canonical, packing, percentiles, stuffing, tokenizing
+from loomlake.llm import addresses, canonical, packing, percentiles, stuffing, tokenizing
 from loomlake.sources.tables import first_delivery, table
 
 
@@ -43,6 +43,17 @@ def p5_load_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("load_id", F.col("grp").alias("department"), F.col("n").alias("n_amounts"), *[F.round(c, 4).alias(c) for c in percentiles.WANTED])
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.same_place_pairs(table(spark, folder, "patients"))
+
+
+def p6_places(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per patient record with a place: its class and how many patients live there."""
+    p = addresses.places(table(spark, folder, "patients"))
+    sizes = p.groupBy("place").agg(F.count("*").alias("n_patients"))
+    return p.join(sizes, "place")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizing.token_ids(table(spark, folder, "documents"))
 
@@ -73,6 +84,8 @@ QUERIES = {
     "p3_unmatched": p3_unmatched,
     "p5_percentiles": p5_percentiles,
     "p5_load_percentiles": p5_load_percentiles,
+    "p6_found": p6_found,
+    "p6_places": p6_places,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_containers": p9_containers,
