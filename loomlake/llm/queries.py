@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import addresses, canonical, packing, percentiles, stuffing, tokenizing
+from loomlake.llm import addresses, canonical, packing, percentiles, same_names, stuffing, tokenizing
 from loomlake.sources.tables import first_delivery, table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_names.name_pairs(table(spark, folder, "visits"), table(spark, folder, "patients"))
+
+
+def p1_doctors(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per spelling that names a doctor, with its group."""
+    return same_names.doctor_groups(table(spark, folder, "visits"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     listed = canonical.reference_list(table(spark, folder, "canonical_values"))
     listed = [x for x in listed if x[0] in ("insurance_provider", "department", "diagnosis")]
@@ -80,6 +89,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_doctors": p1_doctors,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p5_percentiles": p5_percentiles,
