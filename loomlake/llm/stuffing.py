@@ -13,6 +13,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -56,6 +57,7 @@ _URL = regex.compile(r"(?:https?://|www\.)[^\s<>\"'\]\)]+|\b(?:[\w-]+\.)+(?:exam
 _MARKUP = regex.compile(r"</?(?:a|b|br|code|div|em|h[1-6]|i|img|li|ol|p|pre|span|strong|table|td|th|tr|u|ul)\b[^>]*>|<!--|-->", regex.IGNORECASE)
 _TERM = regex.compile(r"\w(?:([*._~+-])\w(?:\1\w){2,})|[^\W_][\w$@!€'’-]*[\w$€]|\w|\$\w+")
 _SPACED = regex.compile(r"^\w([*._~+-])\w(?:\1\w){2,}$")
+_ENDER = regex.compile(r"\s?[,;|•>·/\]]|\s[-–—]\s|\s*$")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _STAMP = regex.compile(r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\b\d\d:\d\d:\d\d\b")
@@ -79,6 +81,13 @@ def plain(term: str) -> list[str]:
     return [w for p in parts for w in regex.split(r"[_-]", p.casefold()) if w]
 
 
+@lru_cache(maxsize=200_000)
+def term_words(term: str) -> tuple[tuple[str, int, bool], ...]:
+    """The words of a term as read, each with the characters it stands for and whether it is CJK; function words are marked by kind."""
+    found = plain(term)
+    return tuple((w, max(1, len(term) // len(found)) + (k == 0), bool(_CJK.search(w)) if not w.isascii() else False) for k, w in enumerate(found))
+
+
 def is_structured(line: str) -> bool:
     """Lines of code, logs, tables and data."""
     body = _URL.sub("", line)
@@ -86,9 +95,9 @@ def is_structured(line: str) -> bool:
         return False  # a link, whatever is around it
     if _STAMP.search(line) or _SHELL.search(line):
         return True
-    letters = sum(ch.isalpha() for ch in body)
-    signs = sum(ch in "()[]{}=;\"'`|\t\\&" for ch in body)
-    digits = sum(ch.isdigit() for ch in body)
+    letters = sum(map(str.isalpha, body))
+    signs = sum(map(body.count, "()[]{}=;\"'`|\t\\&"))
+    digits = sum(map(str.isdigit, body))
     if signs + digits >= max(4, 0.3 * letters) and not regex.search(r"[$€£]\s?\d|\d\s?[$€£]", body):
         return True
     names = _IDENTIFIER.findall(body)
@@ -132,19 +141,16 @@ class Page:
 
     def _terms(self, part: str, structured: bool) -> None:
         for m in _TERM.finditer(part):
-            term = m.group()
-            words = plain(term)
-            for k, w in enumerate(words):
+            for w, size, cjk in term_words(m.group()):
                 if structured:
                     kind = 3
-                elif w in FUNCTION_WORDS or (_CJK.search(w) and (self.sentence or len(w) >= 5)):
+                elif w in FUNCTION_WORDS or (cjk and (self.sentence or len(w) >= 5)):
                     kind = 1
                 else:
                     kind = 0
-                self._add(w, max(1, len(term) // len(words)) + (k == 0), kind)
-            if self.items:
-                rest = part[m.end() : m.end() + 3]
-                self.items[-1] = bool(regex.match(r"\s?[,;|•>·/\]]|\s[-–—]\s|\s*$", rest))
+                self._add(w, size, kind)
+            if self.items and not structured:
+                self.items[-1] = bool(_ENDER.match(part, m.end(), m.end() + 3))
 
 
 def latin(word: str) -> bool:
