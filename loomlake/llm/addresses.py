@@ -272,7 +272,7 @@ def with_town(forms: DataFrame) -> DataFrame:
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = [band_keys(d, n) for d, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["form", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(keys, pa.list_(pa.int64()))], names=["form", "block", "bands"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +313,15 @@ def places(patients: DataFrame) -> DataFrame:
     node = ["number", "unit", "town", "direction", "name"]
     nodes = each.withColumn("node", F.xxhash64(*node))
     lone = nodes.groupBy("node", *node, "name_rows").agg(F.max("kind").alias("kind"))
-    bands = lone.select(F.col("node").alias("form"), "direction", "name").mapInArrow(_banded, "form long, bands array<long>")
-    keyed = lone.join(bands, lone["node"] == bands["form"]).select("node", *node, "kind", "name_rows", F.explode("bands").alias("band"))
-    side = lambda s: keyed.select(
-        F.xxhash64("number", "unit", "town", "direction", "band").alias("k"), F.col("node").alias(s), F.col("name_rows").alias(f"{s}_rows"), *[F.col(c).alias(f"{s}_{c}") for c in ("number", "unit", "town", "direction", "name", "kind")]
-    )
-    a, b = side("a"), side("b")
-    pairs = a.join(b, "k").where("a < b and a_number = b_number and a_unit = b_unit and a_town = b_town and a_direction = b_direction").drop("k").dropDuplicates(["a", "b"])
+    block = F.xxhash64("number", "unit", "town", "direction")
+    # a node alone in its block has no candidate: only the others are banded
+    crowded = lone.groupBy(block.alias("block")).agg(F.count("*").alias("n")).where("n > 1").select("block")
+    few = durable(lone.withColumn("block", block).join(crowded, "block", "left_semi"))
+    bands = few.select(F.col("node").alias("form"), "direction", "name", "block").mapInArrow(_banded, "form long, block long, bands array<long>")
+    keyed = bands.select("form", F.explode("bands").alias("band"), "block").select(F.xxhash64("block", "band").alias("k"), "form")
+    meet = keyed.select("k", F.col("form").alias("a")).join(keyed.select("k", F.col("form").alias("b")), "k").where("a < b").select("a", "b").distinct()
+    side = lambda s: few.select(F.col("node").alias(s), F.col("name_rows").alias(f"{s}_rows"), *[F.col(c).alias(f"{s}_{c}") for c in ("number", "unit", "town", "direction", "name", "kind")])
+    pairs = meet.join(side("a"), "a").join(side("b"), "b").where("a_number = b_number and a_unit = b_unit and a_town = b_town and a_direction = b_direction")
     edges = pairs.mapInArrow(_verified, "a long, b long")
     found = components(edges)
     labelled = nodes.join(found, "node", "left").withColumn("street", F.coalesce("component", "node"))
