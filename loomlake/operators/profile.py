@@ -22,6 +22,7 @@ def melted(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
             continue
         x = F.col(c)
         missing = F.isnan(x) if t in ("double", "float") else F.lit(False)
+        x = x + F.lit(0.0).cast(t) if t in ("double", "float") else x  # one zero, whatever its sign
         text = F.when(~missing, x.cast("string"))
         number = finite(x.cast("double")) if is_numeric(t) else F.lit(None).cast("double")
         cells.append(F.struct(F.lit(c).alias("column_name"), text.alias("value"), number.alias("number")))

@@ -39,6 +39,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
 
+def plain(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that may be null as doubles, the one form in which clients agree on them."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 # ---------------------------------------------------------------- medallion
 
 
@@ -66,7 +71,7 @@ def _bronze(spark, folder, spec):
 
 
 def silver_clinical(spark, folder):
-    return medallion.silver(CLINICAL, _bronze(spark, folder, CLINICAL))
+    return plain(medallion.silver(CLINICAL, _bronze(spark, folder, CLINICAL)), "age")
 
 
 def silver_financial(spark, folder):
@@ -128,7 +133,7 @@ def _visits(spark, folder):
 
 
 def _profiled(df):
-    return profile.profile(df)
+    return plain(profile.profile(df), "min_length", "max_length")
 
 
 def profile_visits(spark, folder):
@@ -546,7 +551,7 @@ def push_append_counts(spark, folder):
 
 def _stream(spark, folder):
     schema = table(spark, folder, "events").schema
-    return streams.folder_stream(spark, folder, schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.folder_stream(spark, f"{folder}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _streamed(spark, stream, mode="complete"):
