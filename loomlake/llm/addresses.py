@@ -24,6 +24,7 @@ from loomlake.llm.edits import osa
 from loomlake.llm.graph import components
 from loomlake.session import durable
 
+MOST_CHARACTERS = 500
 BANDS = 16  # one row each: within equal number, unit and town even half-equal names meet
 NAME_EDITS = 2
 ALIGNED = 0.34  # alignment cost per token
@@ -73,10 +74,13 @@ def near_key(word: str, table: dict[str, str], least: int = 4) -> str | None:
 def read(text: str | None) -> tuple[str, str, str, str, str, str, str] | None:
     """(number, direction, name, type, unit, town words, postal code); null where the text names no place.
 
-    Number, street name and one of town and postal code must be there.
+    Number, street name and one of town and postal code must be there.  A text of
+    more than 500 characters is prose and no address.
     """
     if not text or not text.strip():
         return None
+    if len(text) > MOST_CHARACTERS:
+        return None
     t = folded(text)
     if _BOX.search(t):
         return None

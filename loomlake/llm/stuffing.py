@@ -13,12 +13,13 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from loomlake.llm.memory import remembered
+
 WINDOW = 24  # terms
 LAGS = 12
 FEW_FUNCTION = 0.13  # share of function words below which terms are not sentences
@@ -53,8 +54,8 @@ FUNCTION_WORDS = frozenset(
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏԛԝАВЕКМНОРСТХ", "aeopcyxijsdhlqwABEKMHOPCTX")
 SIGNS = str.maketrans("013457$@!€", "oieastsaie")
 
-_URL = regex.compile(r"(?:https?://|www\.)[^\s<>\"'\]\)]+|\b(?:[\w-]+\.)+(?:example|test|invalid|com|net|org|io|info|biz)(?:\.\w{2,3})?(?:/[^\s<>\"'\]\)]*)?", regex.IGNORECASE)
-_MARKUP = regex.compile(r"</?(?:a|b|br|code|div|em|h[1-6]|i|img|li|ol|p|pre|span|strong|table|td|th|tr|u|ul)\b[^>]*>|<!--|-->", regex.IGNORECASE)
+_URL = regex.compile(r"(?:https?://|www\.)[^\s<>\"'\]\)]+|(?<![\w.-])(?:[\w-]{1,63}\.){1,6}(?:example|test|invalid|com|net|org|io|info|biz)(?:\.\w{2,3})?(?:/[^\s<>\"'\]\)]*)?", regex.IGNORECASE)
+_MARKUP = regex.compile(r"</?(?:a|b|br|code|div|em|h[1-6]|i|img|li|ol|p|pre|span|strong|table|td|th|tr|u|ul)\b[^>]{0,2000}>|<!--|-->", regex.IGNORECASE)
 _TERM = regex.compile(r"\w(?:([*._~+-])\w(?:\1\w){2,})|[^\W_][\w$@!€'’-]*[\w$€]|\w|\$\w+")
 _SPACED = regex.compile(r"^\w([*._~+-])\w(?:\1\w){2,}$")
 _ENDER = regex.compile(r"\s?[,;|•>·/\]]|\s[-–—]\s|\s*$")
@@ -81,7 +82,7 @@ def plain(term: str) -> list[str]:
     return [w for p in parts for w in regex.split(r"[_-]", p.casefold()) if w]
 
 
-@lru_cache(maxsize=200_000)
+@remembered(200_000)
 def term_words(term: str) -> tuple[tuple[str, int, bool], ...]:
     """The words of a term as read, each with the characters it stands for and whether it is CJK; function words are marked by kind."""
     found = plain(term)
