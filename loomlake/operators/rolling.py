@@ -133,7 +133,7 @@ def _totals(entities: pa.Array, start: np.ndarray, day: np.ndarray, total: np.nd
         yield whole.slice(at, 65536)
 
 
-MOST_ROWS = 8192
+MOST_ROWS, MOST_TREES = 8192, 16384
 
 
 def trailing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +163,11 @@ def trailing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         edges = np.flatnonzero(np.diff(codes)) + 1
         starts = np.concatenate(([0], edges, [len(codes)]))
         day, total, n = (t.column(c).to_numpy() for c in ("day", "total", "n"))
+        trees = np.concatenate(([0], np.cumsum(day[starts[1:] - 1] // SHARD - day[starts[:-1]] // SHARD + 1)))
         k = 0
-        while k < len(starts) - 1:  # some thousand rows at a time bound the matrices
-            e = max(k + 1, int(np.searchsorted(starts, starts[k] + MOST_ROWS, side="right")) - 1)
+        while k < len(starts) - 1:  # some thousand rows and trees at a time bound the matrices
+            e = min(int(np.searchsorted(starts, starts[k] + MOST_ROWS, side="right")), int(np.searchsorted(trees, trees[k] + MOST_TREES, side="right"))) - 1
+            e = max(k + 1, e)
             a, b = starts[k], starts[e]
             ids = names.dictionary.take(pa.array(codes[starts[k:e]]))
             yield from _totals(ids, starts[k : e + 1] - a, day[a:b].astype(np.int64), total[a:b], n[a:b])
