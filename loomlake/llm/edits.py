@@ -14,7 +14,7 @@ def osa(a: str, b: str, most: int = 99) -> int:
     while a and b and a[-1] == b[-1]:
         a, b = a[:-1], b[:-1]
     if not a or not b:
-        return len(a) + len(b)
+        return min(len(a) + len(b), most + 1)
     before: list[int] = []
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -27,7 +27,7 @@ def osa(a: str, b: str, most: int = 99) -> int:
         if min(now) > most:
             return most + 1
         before, last = last, now
-    return last[-1]
+    return min(last[-1], most + 1)
 
 
 def levenshtein(a: str, b: str, most: int = 99) -> int:
@@ -41,7 +41,7 @@ def levenshtein(a: str, b: str, most: int = 99) -> int:
     while a and b and a[-1] == b[-1]:
         a, b = a[:-1], b[:-1]
     if not a or not b:
-        return len(a) + len(b)
+        return min(len(a) + len(b), most + 1)
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
@@ -50,4 +50,4 @@ def levenshtein(a: str, b: str, most: int = 99) -> int:
         if min(now) > most:
             return most + 1
         last = now
-    return last[-1]
+    return min(last[-1], most + 1)
