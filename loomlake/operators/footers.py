@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: A dictionary with more entries than this is not decoded: such a column's distinct count needs a scan.
 MOST_ENTRIES = 20_000
 FILES_PER_TASK = 4
+#: Some writers cut long texts in statistics: extrema of this length or more are not taken.
+CUT_LENGTH = 60
 
 
 def file_list(spark: SparkSession, path: str) -> DataFrame:
@@ -91,6 +93,8 @@ def footer_facts(spark: SparkSession, path: str) -> DataFrame:
                         c, s = meta.column(j), meta.column(j).statistics
                         known = s is not None and s.has_min_max and c.physical_type in ("INT32", "INT64", "BYTE_ARRAY")
                         lo, hi = (str(s.min), str(s.max)) if known else (None, None)
+                        if known and max(len(lo), len(hi)) >= CUT_LENGTH:
+                            lo = hi = None
                         words = None
                         if c.has_dictionary_page and c.physical_type == "BYTE_ARRAY" and f.schema_arrow.field(name).type == pa.string():
                             d = _open(uri, [name]).read_row_group(g, columns=[name]).column(0)
@@ -120,12 +124,13 @@ def column_profile(spark: SparkSession, path: str, columns: list[str]) -> DataFr
         F.when(F.count("hi") == F.count_if(F.col("nulls") < F.col("rows")), F.max("hi")).alias("hi"),
         F.bool_and(F.col("candidates").isNotNull()).alias("complete"),
     )
-    few = {r["column_name"]: r for r in head.collect()}  # one row per column of the table
+    few = {c: {"rows": 0, "nulls": 0, "lo": None, "hi": None, "complete": True} for c in columns}  # as of a table without rows
+    few |= {r["column_name"]: r.asDict() for r in head.collect()}  # one row per column of the table
     done = facts.select("column_name", F.explode("candidates").alias("v")).distinct().groupBy("column_name").agg(F.count("*").alias("d"))
     distinct = {r["column_name"]: r["d"] for r in done.collect()}
     facts.unpersist()
     floats = [c for c in columns if types[c] in ("double", "float")]
-    open_distinct = [c for c in columns if not (c in few and few[c]["complete"])]
+    open_distinct = [c for c in columns if not few[c]["complete"]]
     numeric = [c for c in columns if types[c] in ("int", "bigint", "smallint", "tinyint")]
     open_range = [c for c in columns if c in numeric or c in floats or few[c]["lo"] is None or types[c] not in ("string",)]
     open_nulls = [c for c in columns if few[c]["nulls"] is None]
