@@ -23,7 +23,7 @@ from loomlake.session import durable
 CAPACITY = 2048
 FILLERS = 24  # lengths tried as the second member of a pattern
 SHORT_WEIGHT = 0.1  # residuals of short items weigh less: they fill gaps easily
-BUCKETS = 64  # a length's items are ranked in so many independent parts
+BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 64  # a length's items are ranked in independent parts of about so many rows, in so many parts at least
 
 
 @dataclass
@@ -178,9 +178,9 @@ def place(seg: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -> t
     return seg["start"][i] + at // seg["times"][i], seg["position"][i] + nth, seg["offset"][i] + nth * length
 
 
-def ranked(items: DataFrame, by: str, key: list[str]) -> DataFrame:
+def ranked(items: DataFrame, by: str, key: list[str], buckets: int = LEAST_BUCKETS) -> DataFrame:
     """Add ``rank`` from 0 among equal ``by``: ranks inside hashed buckets plus the buckets' offsets, so no value is one task's work."""
-    bucketed = items.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+    bucketed = items.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
     local = bucketed.withColumn("_local", F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*key)) - 1)
     sizes = bucketed.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -207,10 +207,12 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     hist = np.zeros(capacity + 1, np.int64)
     for r in items.groupBy("n_tokens").count().collect():  # at most capacity + 1 rows
         hist[r[0]] = r[1]
+    pieces = int(hist.sum()) + int(wholes.count())
+    buckets = max(LEAST_BUCKETS, -(-pieces // BUCKET_ROWS))
     p = plan(hist, capacity)
     seg, packed = segments(p), p.containers
     # containers of patterns first, then the full pieces
-    whole_rows = ranked(wholes.withColumn("_w", F.lit(0)), "_w", ["doc_id", "piece"]).select(
+    whole_rows = ranked(wholes.withColumn("_w", F.lit(0)), "_w", ["doc_id", "piece"], buckets).select(
         "doc_id", "piece", F.lit(capacity).cast("long").alias("n_tokens"), (F.col("rank") + packed).cast("long").alias("container_id"), F.lit(0).alias("position"), F.lit(0).cast("long").alias("start_token")
     )
     sizes = np.array([int(t.sum()) for t in p.times], np.int64)
@@ -236,7 +238,7 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [doc, piece, n, pa.array(box), pa.array(pos.astype(np.int32)), pa.array(off)], names=["doc_id", "piece", "n_tokens", "container_id", "position", "start_token"]
             )
 
-    rest = ranked(items, "n_tokens", ["doc_id", "piece"]).select("doc_id", "piece", "n_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(work, PLACED)
+    rest = ranked(items, "n_tokens", ["doc_id", "piece"], buckets).select("doc_id", "piece", "n_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(work, PLACED)
     return rest.unionByName(whole_rows)
 
 
