@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.01
+MOST_BROADCAST = 100_000  # rows of the one side for all hot keys together; beyond it the join is an ordinary one
 
 
 def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
@@ -15,13 +16,13 @@ def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
 
 
 def skewed_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join ``many`` to ``one``, where ``one`` has at most a few rows for each hot key of ``many``.
+    """Join ``many`` to ``one``; ``how`` is inner or left.
 
-    Rows of hot keys meet a broadcast of the few rows of ``one`` with those keys;
-    all others go through an ordinary shuffle.  ``how`` is inner or left.
+    Rows of hot keys meet a broadcast of the few rows of ``one`` with those keys,
+    whose number is checked; all others go through an ordinary shuffle.
     """
     hot = hot_values(many, key)
-    if not hot:
+    if not hot or one.where(F.col(key).isin(hot)).limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
         return many.join(one, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     cold = many.where(~is_hot).join(one, key, how)

@@ -110,12 +110,13 @@ def coded_findings(spark: SparkSession, folder: str, watched: tuple[Watched, ...
             good = counts.where("listed")
             loads = good.groupBy("load_id").agg(F.sum("n").alias("load_n"))
             entries = good.groupBy("value").agg(F.sum("n").alias("entry_n"))
-            everything = good.agg(F.sum("n").alias("all_n"))
-            # every load x every entry: both are lists of a few rows, absent pairs count 0
-            grid = loads.join(F.broadcast(everything), F.lit(True)).withColumn("e", F.lit(1)).join(F.broadcast(entries.withColumn("e", F.lit(1))), "e")
-            here = grid.join(good.select("load_id", "value", "n"), ["load_id", "value"], "left").fillna(0, ["n"])
-            part = F.abs(F.col("n") / F.col("load_n") - (F.col("entry_n") - F.col("n")) / F.nullif(F.col("all_n") - F.col("load_n"), F.lit(0)))
-            tv = here.groupBy("load_id").agg((F.sum(part) / 2).alias("figure")).select(*base, "load_id", F.lit("distribution").alias("finding"), "figure", (F.col("figure") > DISTANCE).alias("exceeds"))
+            all_n = F.lit(good.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+            here = good.select("load_id", "value", "n").join(loads, "load_id").join(entries, "value")
+            rest = F.nullif(all_n - F.col("load_n"), F.lit(0))
+            part = F.abs(F.col("n") / F.col("load_n") - (F.col("entry_n") - F.col("n")) / rest)
+            # an entry that a load lacks differs by its whole share in the other loads
+            lacking = (all_n - F.sum("entry_n")) / F.max(rest)
+            tv = here.groupBy("load_id").agg(((F.sum(part) + lacking) / 2).alias("figure")).select(*base, "load_id", F.lit("distribution").alias("finding"), "figure", (F.col("figure") > DISTANCE).alias("exceeds"))
             both = pattern.unionByName(tv)
             out = both if out is None else out.unionByName(both)
     return out

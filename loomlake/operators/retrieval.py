@@ -213,10 +213,15 @@ def selected(results: DataFrame, most: int = MOST_RESULTS, weight: float = LAMBD
     return results.select("query_id", "chunk", "collection", "metadata", "rrf_score").groupBy("query_id").applyInPandas(pick, "query_id long, chunk string, collection string, rrf_score double, position int")
 
 
-def missing_collections(results: DataFrame, collections: DataFrame) -> DataFrame:
-    """(query_id, collection): collections without a chosen result, for each question."""
-    every = results.select("query_id").distinct().withColumn("_e", F.lit(1)).join(F.broadcast(collections.select("collection").distinct().withColumn("_e", F.lit(1))), "_e").drop("_e")
-    return every.join(results.select("query_id", "collection").distinct(), ["query_id", "collection"], "left_anti")
+MOST_COLLECTIONS = 10_000
+
+
+def missing_collections(results: DataFrame, collections: list[str]) -> DataFrame:
+    """(query_id, collection): collections of the catalog, a bounded list, without a chosen result, for each question."""
+    if len(collections) > MOST_COLLECTIONS:
+        raise ValueError(f"more than {MOST_COLLECTIONS} collections")
+    every = F.array(*[F.lit(c) for c in sorted(set(collections))])
+    return results.groupBy("query_id").agg(F.collect_set("collection").alias("got")).select("query_id", F.explode(F.array_except(every, "got")).alias("collection"))
 
 
 def contexts(chosen: DataFrame, docs: DataFrame) -> DataFrame:

@@ -37,10 +37,9 @@ def p4_rolling_totals(spark: SparkSession, folder: str) -> DataFrame:
 def p4_corrected_trees(spark: SparkSession, folder: str) -> DataFrame:
     """Trees of all loads but the last, corrected by the last; the root of each tree comes out."""
     visits = first_delivery(table(spark, folder, "visits"), "visit_id", ["patient_id", "visit_date", "bill_amount"])
-    last = table(spark, folder, "visits").agg(F.max("load_id").alias("last_load"))
-    marked = visits.join(F.broadcast(last))
-    trees = rolling.segment_trees(_visit_days(marked.where("load_id < last_load")))
-    now = rolling.apply_corrections(trees, _visit_days(marked.where("load_id = last_load")))
+    last = F.lit(table(spark, folder, "visits").agg(F.max("load_id")).first()[0]).cast("int")
+    trees = rolling.segment_trees(_visit_days(visits.where(F.col("load_id") < last)))
+    now = rolling.apply_corrections(trees, _visit_days(visits.where(F.col("load_id") == last)))
     return now.select(
         F.col("entity").alias("patient_id"), "shard", (F.round(F.element_at("sums", -1), 2) + F.lit(0.0)).alias("total"), F.element_at("counts", -1).cast("long").alias("n_amounts")
     )

@@ -442,8 +442,8 @@ def collection_coverage(spark, folder):
 def missing_collections(spark, folder):
     """Labels that none of a query's passed results has."""
     f = retrieval.passed(_fused(spark, folder)).withColumn("collection", F.substring_index("chunk", ":", 1))
-    labels = table(spark, folder, "embeddings").select(F.col("label").cast("string").alias("collection"))
-    return retrieval.missing_collections(f, labels)
+    labels = table(spark, folder, "embeddings").select(F.col("label").cast("string")).distinct().limit(retrieval.MOST_COLLECTIONS + 1).collect()
+    return retrieval.missing_collections(f, [r[0] for r in labels if r[0] is not None])
 
 
 def catalog_retrieval(spark, folder):

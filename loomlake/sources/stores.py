@@ -88,7 +88,7 @@ def push_rows(rows: DataFrame, known: DataFrame, path: str, batch: str) -> int:
     Rows for unknown tables raise.  A batch written before is replaced, not
     doubled: the store is partitioned by batch.
     """
-    unknown = rows.join(F.broadcast(known), ["dataset_id", "table_name"], "left_anti").limit(1).count()
+    unknown = rows.join(known, ["dataset_id", "table_name"], "left_anti").limit(1).count()
     if unknown:
         raise LookupError("rows for a dataset or table that is not known")
     stored = rows.withColumn("batch", F.lit(batch))
