@@ -25,7 +25,7 @@ LAGS = 12
 FEW_FUNCTION = 0.13  # share of function words below which terms are not sentences
 RECURRENT = 0.45  # share of terms whose pair recurs soon
 SATURATED, SOME_FUNCTION = 0.70, 0.25  # so much recurrence marks terms even with some function words between them
-BARE = 16  # so many terms without any function word are a list
+BARE = 12  # so many terms without any function word are a list
 REGULAR = 0.40  # autocorrelation at the best lag
 PROMOTED = 0.30  # share of a page's terms that is its one phrase
 LESS_PROMOTED, POOR = 0.24, 0.42  # a smaller share is enough where few different words stand around the phrase
@@ -44,7 +44,7 @@ FUNCTION_WORDS = frozenset(
     al algo alguien como con cuando de del desde donde el ella en entre era es esa ese eso esta está este esto fue ha hay la las le les lo
     los luego más me mi muy no nos o para pero por porque primero qué que quien se sea ser si sin sobre son su también te tiene un una
     uno y ya
-    à a au aussi aux avec c ce ces cette chez comme d'abord dans de des dont du elle en entre est et eu il ils j je l la le les leur lors
+    à a au aussi aux avec c d quelqu'un ce ces cette chez comme d'abord dans de des dont du elle en entre est et eu il ils j je l la le les leur lors
     lue mais me mes moi n ne nous on ou où par pas peut plus pour pourquoi qu que quelqu qui s sa sans se ses si son sont sous sur t très
     trop tu un une vous y être été
     ao aos até com da das depois do dos e ela ele em essa esse está eu foi há isso já la mais mas me mesmo meu na nas não nem no nos num
@@ -57,6 +57,7 @@ SIGNS = str.maketrans("013457$@!€", "oieastsaie")
 _URL = regex.compile(r"(?:https?://|www\.)[^\s<>\"'\]\)]+|(?<![\w.-])(?:[\w-]{1,63}\.){1,6}(?:example|test|invalid|com|net|org|io|info|biz)(?:\.\w{2,3})?(?:/[^\s<>\"'\]\)]*)?", regex.IGNORECASE)
 _MARKUP = regex.compile(r"</?(?:a|b|br|code|div|em|h[1-6]|i|img|li|ol|p|pre|span|strong|table|td|th|tr|u|ul)\b[^>]{0,2000}>|<!--|-->", regex.IGNORECASE)
 _TERM = regex.compile(r"\w(?:([*._~+-])\w(?:\1\w){2,})|[^\W_][\w$@!€'’-]*[\w$€]|\w|\$\w+")
+_BREAK = regex.compile(r"[_-]|(?<=^\p{L}{1,2})['’]")  # also after the elided words of French and Italian
 _SPACED = regex.compile(r"^\w([*._~+-])\w(?:\1\w){2,}$")
 _ENDER = regex.compile(r"\s?[,;|•>·/\]]|\s[-–—]\s|\s*$")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
@@ -73,13 +74,14 @@ def plain(term: str) -> list[str]:
     """Terms as a reader sees them: look-alike letters folded, spaced-out letters joined, glued words cut."""
     if _SPACED.match(term):
         term = term[0::2]
-    if not term.isascii():
-        if regex.search(r"[A-Za-z]", term) or not regex.search(r"\p{Cyrillic}{3}", term):
-            term = term.translate(LOOKALIKES)
-    if regex.search(r"[0-9$@!€]", term) and regex.search(r"\p{L}", term):
-        term = term.translate(SIGNS)
-    parts = _CAMEL.split(term) if not term.isupper() else [term]
-    return [w for p in parts for w in regex.split(r"[_-]", p.casefold()) if w]
+    out = []
+    for part in [term] if term.isupper() or term.islower() else _CAMEL.split(term):
+        if not part.isascii() and (regex.search(r"[A-Za-z]", part) or not regex.search(r"\p{Cyrillic}{3}", part)):
+            part = part.translate(LOOKALIKES)
+        if regex.search(r"[0-9$@!€]", part) and regex.search(r"\p{L}", part):
+            part = part.translate(SIGNS)
+        out += [w for w in _BREAK.split(part.casefold()) if w]
+    return out
 
 
 @remembered(200_000)
@@ -99,7 +101,7 @@ def is_structured(line: str) -> bool:
     letters = sum(map(str.isalpha, body))
     signs = sum(map(body.count, "()[]{}=;\"'`|\t\\&"))
     digits = sum(map(str.isdigit, body))
-    if signs + digits >= max(4, 0.3 * letters) and not regex.search(r"[$€£]\s?\d|\d\s?[$€£]", body):
+    if signs + digits >= max(5, 0.3 * letters) and not regex.search(r"[$€£]\s?\d|\d\s?[$€£]", body):
         return True
     names = _IDENTIFIER.findall(body)
     if _CODE_START.match(line) and (names or signs >= 2 or len(line.split()) <= 2):
@@ -226,9 +228,10 @@ def spam_share(text: str) -> float:
         return 1.0
     hits = recurrence(page.words)
     marked = [False] * n
-    step = WINDOW // 2
+    width = WINDOW if n >= 2 * WINDOW else WINDOW // 2  # short pages: narrower, or a sentence hides the list after it
+    step = width // 2
     for a in range(0, max(1, n - step), step):
-        b = min(n, a + WINDOW)
+        b = min(n, a + width)
         kinds = page.kind[a:b]
         m = b - a
         structured = kinds.count(3)
@@ -247,7 +250,7 @@ def spam_share(text: str) -> float:
                 links >= 2 and link_chars >= 0.3 * chars
                 or repeats >= RECURRENT
                 or m >= 8 and autocorrelation(words) >= REGULAR
-                or m >= 10 and enders >= 0.3 and structured == 0
+                or m >= 10 and enders >= 0.3 and structured <= 0.15 * m
                 or m >= BARE and function <= 0.05 and structured == 0 and all(map(latin, words))
             ):
                 for i in range(a, b):
