@@ -144,3 +144,40 @@ def dtype_label(kind: str) -> str:
     return {"string": "object", "double": "float64", "float": "float32", "int": "int64", "bigint": "int64", "smallint": "int64", "tinyint": "int64", "boolean": "bool"}.get(
         kind, "datetime64[ns]" if kind.startswith(("timestamp", "date")) else "object"
     )
+
+
+def split_once(c: Column, separator: str) -> Column:
+    """The parts before and after the first separator; one part where there is none."""
+    at = F.instr(c, separator)
+    return F.when(at > 0, F.array(F.substring(c, F.lit(1), at - 1), F.substring(c, at + len(separator), F.length(c)))).otherwise(F.array(c))
+
+
+def fenced_json(c: Column) -> Column:
+    """A JSON object in an answer, with or without a code fence or words around it, as a map of texts; null where there is none."""
+    bare = F.regexp_replace(c, r"```(?:json)?", "")
+    return F.from_json(F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit("")), "map<string,string>")
+
+
+def utc_stamp(c: Column) -> Column:
+    """yyyy-mm-ddThh:mm:ssZ in the session's zone, which is to be UTC."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def short_id(*parts: Column) -> Column:
+    """Eight hex digits that depend on the parts alone."""
+    return F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 8)
+
+
+def without_fields(df, names: tuple[str, ...]):
+    """Drop columns of these names, and fields of these names in structs and arrays of structs, at any depth."""
+    from pyspark.sql.types import ArrayType, StructType
+
+    def cut(col: Column, kind):
+        if isinstance(kind, StructType):
+            kept = [cut(col.getField(f.name), f.dataType).alias(f.name) for f in kind.fields if f.name not in names]
+            return F.when(col.isNotNull(), F.struct(*kept)) if kept else F.lit(None).cast("string")
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType | ArrayType):
+            return F.transform(col, lambda x: cut(x, kind.elementType))
+        return col
+
+    return df.select(*[cut(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields if f.name not in names])

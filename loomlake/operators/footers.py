@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlake.session import ship
+
 #: A dictionary with more entries than this is not decoded: such a column's distinct count needs a scan.
 MOST_ENTRIES = 20_000
 FILES_PER_TASK = 4
@@ -23,6 +25,7 @@ CUT_LENGTH = 60
 
 def file_list(spark: SparkSession, path: str) -> DataFrame:
     """The data files below ``path``, a few per task."""
+    ship(spark)
     files = sorted(spark.read.parquet(path).inputFiles())
     tasks = max(1, -(-len(files) // FILES_PER_TASK))
     return spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks)

@@ -103,3 +103,11 @@ def newest(history: DataFrame, key: str, order: list[Column], top: int = 10) ->
     if top < 0:
         raise ValueError("top must not be negative")
     return history.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= top).drop("_r")
+
+
+def found(df: DataFrame, column: str, value: str) -> DataFrame:
+    """The rows with this id; LookupError where there is none."""
+    rows = df.where(F.col(column) == value)
+    if rows.limit(1).count() == 0:
+        raise LookupError(f"no {column} {value}")
+    return rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from loomlake.functions.expressions import DEEP_PHRASES, FAST_PHRASES, NA_TOKENS, STOP_WORDS
 from loomlake.operators.medallion import name_map
-from loomlake.plans.reference_queries import ANSWERS, COUNTED, GOLD_NAMES, QUESTIONS, SCORES, VIEW_TEXTS
+from loomlake.plans.reference_queries import ANSWERS, COUNTED, GOLD_NAMES, QUESTIONS, REPLIES, SCORES, VIEW_TEXTS
 from loomlake.plans.specs import AS_OF, CLINICAL, DASHBOARDS, DATASETS, FINANCIAL, RAW_KEYS, REPORTS, SILVER, TILES
 
 
@@ -193,7 +193,16 @@ _CONCEPT = f"""{LINEAGE}, cols as (
   union all select 1, 'silver', silver_table, silver_column, (select source_column from edges e where e.target_column = silver_column order by ordinal limit 1) from mapping
   union all select 2, 'gold', gold_view, gold_column, (select source_column from edges e where e.target_column = silver_column order by ordinal limit 1) from mapping)"""
 
+_DOCS = f"""with {_KEYS}, {_CONCEPT}, {BI}, {_TILES}, {_MEASURES}, {_REPORTS}, {_DASH}, docs as (
+  select 'data_dictionary' as collection, 'data_dictionary' as type, count(*) as n from cols union all select 'data_dictionary', 'concept', count(distinct o) from cols
+  union all select 'data_dictionary', 'catalog_summary', 1 union all select 'ontology', 'entity', count(*) from keys union all select 'ontology', 'relationship', count(*) from links
+  union all select 'lineage', 'lineage', count(*) from edges union all select 'bi_lineage', 'end_to_end', count(*) from bi union all select 'bi_catalog', 'bi_column', count(*) from bi
+  union all select 'bi_catalog', 'bi_measure', count(*) from measures union all select 'bi_catalog', 'bi_report', count(distinct report) from tiles join reports using (report_id)
+  union all select 'bi_catalog', 'bi_dashboard', count(*) from dashboards union all select 'bi_catalog', 'bi_artifact_relationship', count(*) from dashboards)"""
+
 ORACLE = {
+    "catalog_summary_counts": f"{_DOCS} select collection, type, n as n_documents from docs",
+    "collection_counts": f"{_DOCS} select collection, cast(sum(n) as bigint) as n_documents from docs group by 1",
     "bronze_scan_rowcounts": " union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in COUNTED),
     "bronze_clean_patients": "select " + ", ".join(f"case when {c} not in ({NA}) then {c} end as {c}" for c in _PATIENTS) + f" from {first('patients')}",
     "bronze_csv_roundtrip": "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier",
@@ -299,5 +308,10 @@ select answer_id, len(bad) = 0 as valid, array_to_string(bad, ',') as invalid fr
     "jsonl_log_roundtrip": "select event_id, user_id, event_type, round(value, 4) as value from events",
     "push_append_counts": "select 'd001' as dataset_id, 'PatientClinical' as table_name, count(*) as n_rows from nation union all select 'd002', 'FinancialRecords', count(*) from supplier",
     "stream_events_tumbling": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n_events, round(sum(value), 2) as total from events group by 1, 2",
+    "fenced_json": f"""with r as (select * from {values(REPLIES, 'reply_id, reply')}), j as (select reply_id, nullif(regexp_extract(replace(replace(reply, '```json', ''), '```', ''), '(?s)(\\{{.*\\}})', 1), '') as t from r)
+select reply_id, json_extract_string(t, '$.a') as a, json_extract_string(t, '$.b') as b from j""",
+    "mapping_keys": f"with {EDGES} select distinct source_table || '_to_' || target_table as mapping, source_table as source, target_table as target from edges",
+    "strip_nested_fields": f"with {BI} select dataset, bi_column, bi_type from bi",
+    "feedback_chunks": "select 1 as query_id, unnest(['lineage:bill', 'bi_catalog:bill']) as chunk",
     "stream_bronze_append": "select event_id, user_id from events",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions import expressions as X
-from loomlake.operators import catalog, documents, evaluation, lineage, medallion, profile, quality, retrieval, semantic
+from loomlake.operators import ask, catalog, documents, evaluation, lineage, medallion, profile, quality, retrieval, semantic
 from loomlake.plans.specs import CLINICAL, DATASETS, FINANCIAL, RAW_KEYS, SILVER
 from loomlake.session import checkpoint_dir, durable
 from loomlake.sources import stores
@@ -479,6 +479,58 @@ def assess_quality(spark, folder):
     return spark.createDataFrame(list(SCORES), "query_id long, scores array<double>").select("query_id", X.quality_band(F.col("scores")).alias("quality"))
 
 
+REPLIES = ((1, '```json\n{"a": "x", "b": "2"}\n```'), (2, 'Sure: {"a": "y"} done'), (3, "no object"), (4, None))
+
+
+def fenced_json(spark, folder):
+    """Descriptions parsed out of answers."""
+    m = X.fenced_json(F.col("reply"))
+    return spark.createDataFrame(list(REPLIES), "reply_id long, reply string").select("reply_id", F.element_at(m, "a").alias("a"), F.element_at(m, "b").alias("b"))
+
+
+def mapping_keys(spark, folder):
+    """Keys of the form source_to_target, cut at the first _to_."""
+    d = lineage.bronze_to_silver(spark).select(F.concat_ws("_to_", "source_table", "target_table").alias("mapping")).distinct()
+    parts = X.split_once(F.col("mapping"), "_to_")
+    return d.select("mapping", parts[0].alias("source"), parts[1].alias("target"))
+
+
+def strip_nested_fields(spark, folder):
+    """A dataset's columns as an array of structs, without the internal field; the elements come out flat."""
+    nested = lineage.bi_columns(spark).groupBy("dataset").agg(F.collect_list(F.struct("bi_column", "bi_type", "gold_column")).alias("columns"), F.first("gold_view").alias("gold_view"))
+    return X.without_fields(nested, ("gold_view", "gold_column")).select("dataset", F.explode("columns").alias("c")).select("dataset", "c.*")
+
+
+def ask_catalog(spark, folder):
+    """Answers to the fixed questions, from the catalog alone, through the log."""
+    answers = durable(ask.answered(_questions(spark).where("question <> ''"), durable(_catalog_docs(spark, folder))))
+    at = scratch(spark)
+    ask.logged(answers, at)
+    log = stores.read_log(spark, at, "query_id long, log_id string, quality string, citations_valid boolean")
+    return answers.select("query_id", "route", F.size("chunk_ids").alias("n_chunks")).join(log, "query_id")
+
+
+def feedback_chunks(spark, folder):
+    """Chunks that helped with a question like the one asked."""
+    at = scratch(spark)
+    ask.record_feedback(spark, at, "q1", "where does the bill amount come from", ["lineage:bill", "bi_catalog:bill"], True)
+    ask.record_feedback(spark, at, "q2", "which departments are there", ["data_dictionary:department"], False)
+    ask.record_feedback(spark, at, "q3", "who treats the patients", ["data_dictionary:doctor"], True)
+    said = durable(ask.approved(spark, at))
+    asked = spark.createDataFrame([(1, "where does bill amount come from"), (2, "which departments are there")], "query_id long, question string")
+    near = retrieval.knn(retrieval.hashed_vectors(asked, "query_id", "question"), retrieval.hashed_vectors(said, "item_id", "question").withColumn("collection", F.lit("feedback")), retrieval.FEEDBACK_TOP)
+    return retrieval.helpful_chunks(near, said)
+
+
+def collection_counts(spark, folder):
+    """Documents by collection, written, then one collection written again."""
+    at = scratch(spark)
+    docs = durable(_catalog_docs(spark, folder).select("collection", "id", "document"))
+    stores.replace_collections(docs, at)
+    stores.replace_collections(docs.where("collection = 'ontology'"), at)
+    return stores.collection_counts(spark, at)
+
+
 # ---------------------------------------------------------------- evaluation
 
 
@@ -582,6 +634,6 @@ QUERIES = {
         refresh_history_top, concept_documents, catalog_documents, catalog_summary_counts, upsert_documents, dedup_prefix_100, tokenize_questions, tokenize_documents, keyword_lookup, catalog_keyword_hits,
         knn_cosine_topk, rrf_fusion, feedback_boost, threshold_fallback, mmr_select, collection_coverage, missing_collections, catalog_retrieval, catalog_contexts, route_questions, route_fixed_questions,
         verify_citations, cited_numbers, assess_quality, eval_context_recall, eval_context_precision, eval_averages, eval_domain_breakdown, eval_judged_answers, feedback_retention, feedback_last_100,
-        jsonl_log_roundtrip, push_append_counts, stream_events_tumbling, stream_bronze_append,
+        jsonl_log_roundtrip, push_append_counts, fenced_json, mapping_keys, strip_nested_fields, ask_catalog, feedback_chunks, collection_counts, stream_events_tumbling, stream_bronze_append,
     )
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from loomlake.functions.expressions import NA_TOKENS, na_to_null
+from loomlake.functions.expressions import na_to_null
 
 
 def _children(spark: SparkSession, folder: str) -> list[str]:
@@ -110,4 +110,13 @@ def push_counts(pushed: DataFrame) -> DataFrame:
     return pushed.groupBy("dataset_id", "table_name").agg(F.count("*").alias("n_rows"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["NA_TOKENS"]
+def replace_collections(docs: DataFrame, path: str) -> None:
+    """Write documents, one partition per collection; collections not written stay as they are."""
+    docs.write.mode("overwrite").partitionBy("collection").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def collection_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(collection, n_documents); an unused store is empty."""
+    if not _children(spark, path):
+        return spark.createDataFrame([], "collection string, n_documents long")
+    return spark.read.parquet(path).groupBy("collection").agg(F.count("*").alias("n_documents"))

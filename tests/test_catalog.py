@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlake.functions import expressions as X
-from loomlake.operators import catalog, documents, evaluation, joins, lineage, medallion, profile, quality, retrieval, semantic
+from loomlake.operators import ask, catalog, documents, evaluation, joins, lineage, medallion, profile, quality, retrieval, semantic
 from loomlake.plans import reference_queries as R
 from loomlake.plans.specs import CLINICAL, DATASETS, SILVER
 from loomlake.sources import stores
@@ -292,3 +292,39 @@ def test_streams_equal_batches(spark, tmp_path):
     streams.to_folder(s, str(tmp_path / "f"), str(tmp_path / "st2"))
     assert spark.read.parquet(str(tmp_path / "f")).count() == 200
     assert streams.sessions(d, "ts", "k").count() == 3
+
+
+def test_answers_of_a_model_and_nested_fields(spark):
+    L = F.lit
+    assert one(spark, X.split_once(L("a_to_b_to_c"), "_to_")) == ["a", "b_to_c"] and one(spark, X.split_once(L("ab"), "_to_")) == ["ab"]
+    assert one(spark, X.fenced_json(L('x {"k": "v"} y'))) == {"k": "v"} and one(spark, X.fenced_json(L("none"))) is None
+    assert one(spark, X.short_id(L("q"))) == one(spark, X.short_id(L("q")))
+    d = spark.createDataFrame([((1, [(2, 3)]), 4), (None, 5)], "s struct<keep:int,inner:array<struct<a:int,drop:int>>>, drop int")
+    cut = X.without_fields(d, ("drop",))
+    assert cut.columns == ["s"] and cut.collect()[0]["s"]["inner"][0].asDict() == {"a": 2} and cut.collect()[1]["s"] is None
+
+
+def test_asking_and_feedback(spark, tmp_path):
+    docs = spark.createDataFrame([("c", "1", "Column: patient_id", {"type": "data_dictionary", "column": "patient_id"})], "collection string, id string, document string, metadata map<string,string>")
+    asked = spark.createDataFrame([(1, "why patient_id"), (2, "what is it")], "query_id long, question string")
+    said = ask.answered(asked, docs, lambda way, context, question: f"{way}: see [1] and [9]")
+    got = {r["query_id"]: r for r in said.collect()}
+    assert got[1]["answer"].startswith("deep") and got[1]["citations_valid"] is False and got[1]["chunk_ids"] == ["c:Column: patient_id"]
+    plain = {r["query_id"]: r["answer"] for r in ask.answered(asked, docs).collect()}
+    assert plain[1].startswith("[1] [c]")
+    at = str(tmp_path / "fb")
+    assert ask.approved(spark, at).count() == 0
+    for i in range(3):
+        ask.record_feedback(spark, at, f"q{i}", "same question", [f"c{i}"], i != 1)
+    assert [r["chunk_ids"] for r in ask.approved(spark, at).collect()] == [["c2"]]
+
+
+def test_collections_are_replaced_one_by_one(spark, tmp_path):
+    at = str(tmp_path / "docs")
+    assert stores.collection_counts(spark, at).count() == 0
+    d = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3")], "collection string, id string")
+    stores.replace_collections(d, at)
+    stores.replace_collections(d.where("id = '1'"), at)
+    assert dict(rows(stores.collection_counts(spark, at))) == {"a": 1, "b": 1}
+    with pytest.raises(LookupError):
+        semantic.found(d, "id", "9")
