@@ -15,6 +15,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -24,12 +25,18 @@ from loomlake.llm.edits import osa
 from loomlake.llm.graph import components
 from loomlake.session import durable
 
+_POSTAL = regex.compile(r"(?<!\d)\d{6}(?!\d)")
+_POSTAL_CUT = regex.compile(r"(?<!\d)\d{3}[-\s]\d{3}(?=\s*(?:$|[,;\n]|-))")
+_POSTAL_ANYWHERE = regex.compile(r"(?<!\d)\d{3}[-\s]\d{3}(?!\d)")
+_NO_DIGIT = regex.compile(r"\D")
+
 MOST_CHARACTERS = 500
 BANDS = 16  # one row each: within equal number, unit and town even half-equal names meet
 NAME_EDITS = 2
 ALIGNED = 0.34  # alignment cost per token
 GAP_OPEN, GAP_EXTEND = 0.5, 0.25
 RARE = 0.15  # a misspelling has at most this share of the rows of the name it stands for
+COMMON = 0.34  # at one edit, twice as sure a sign, at most this share
 SURE = 4  # rows from which a name is no chance misspelling
 
 # Street types, directions, town prefixes and unit words with their abbreviations.
@@ -98,9 +105,9 @@ def read(text: str | None) -> tuple[str, str, str, str, str, str, str] | None:
                 break
     t = _NUMBER_WORD.sub(" ", t)
     postal = ""
-    m = regex.search(r"(?<!\d)\d{6}(?!\d)", t) or regex.search(r"(?<!\d)\d{3}[-\s]\d{3}(?=\s*(?:$|[,;\n]|-))", t) or regex.search(r"(?<!\d)\d{3}[-\s]\d{3}(?!\d)", t)
+    m = _POSTAL.search(t) or _POSTAL_CUT.search(t) or _POSTAL_ANYWHERE.search(t)
     if m:
-        postal = regex.sub(r"\D", "", m.group())
+        postal = _NO_DIGIT.sub("", m.group())
         t = t[: m.start()] + " , " + t[m.end() :]
     parts = [_WORD.findall(p) for p in _PART.split(t)]
     parts = [p for p in parts if p]
@@ -179,14 +186,16 @@ def grams(word: str) -> set[str]:
     return {padded[i : i + 2] for i in range(len(padded) - 1)} | {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
+_MUL = np.array([[(0x9E3779B1 * (2 * b + 1)) & 0xFFFFFFFF | 1] for b in range(BANDS)], np.uint64)
+_ADD = np.array([[(0x85EBCA6B * (b + 1)) & 0xFFFFFFFF] for b in range(BANDS)], np.uint64)
+_MASK, _BAND = np.uint64(0xFFFFFFFF), np.arange(BANDS, dtype=np.uint64)
+
+
 def band_keys(direction: str, name: str) -> list[int]:
     """MinHash of the shingles (the street's q-grams, its name and direction as tokens), one value per band."""
-    shingles = [zlib.crc32(x.encode()) for x in sorted(grams(name) | {f"={name}"})]
-    out = []
-    for b in range(BANDS):
-        mul, add = (0x9E3779B1 * (2 * b + 1)) & 0xFFFFFFFF | 1, (0x85EBCA6B * (b + 1)) & 0xFFFFFFFF
-        out.append(min((s * mul + add) & 0xFFFFFFFF ^ (s >> 7) for s in shingles) << 5 | b)
-    return out
+    s = np.array([zlib.crc32(x.encode()) for x in sorted(grams(name) | {f"={name}"})], np.uint64)
+    least = (((s * _MUL + _ADD) & _MASK) ^ (s >> np.uint64(7))).min(axis=1)
+    return ((least << np.uint64(5)) | _BAND).astype(np.int64).tolist()
 
 
 def token_cost(a: str, b: str) -> float:
@@ -289,7 +298,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not ok:
                 most = NAME_EDITS if min(len(x), len(y)) > 4 else 1
                 low, high = sorted((r["a_rows"], r["b_rows"]))
-                ok = osa(x, y, most) <= most and (low < SURE or low <= RARE * high)
+                d = osa(x, y, most)
+                ok = d <= most and (low < SURE or low <= RARE * high or d == 1 and (low < 2 * SURE or low <= COMMON * high))
             if ok:
                 both = [[w for w in (r[f"{s}_number"], r[f"{s}_direction"], r[f"{s}_name"], r[f"{s}_kind"], r[f"{s}_unit"], *r[f"{s}_town"].split()) if w] for s in "ab"]
                 ok = aligned_cost(*both) <= ALIGNED

@@ -20,6 +20,15 @@ from pyspark.sql import DataFrame
 
 from loomlake.llm.memory import remembered
 
+_LATIN_LETTER = regex.compile(r"[A-Za-z]")
+_CYRILLIC_RUN = regex.compile(r"\p{Cyrillic}{3}")
+_LETTER_SIGN = regex.compile(r"[0-9$@!€]")
+_LETTER = regex.compile(r"\p{L}")
+_PRICE = regex.compile(r"[$€£]\s?\d|\d\s?[$€£]")
+_BULLET = regex.compile(r"[•|]")
+_CJK_STOP = regex.compile(r"[。？！]")
+_OTHER_SCRIPT = regex.compile(r"[^\p{Latin}\p{N}\p{P}\p{S}\p{M}]")
+
 WINDOW = 24  # terms
 LAGS = 12
 FEW_FUNCTION = 0.13  # share of function words below which terms are not sentences
@@ -76,9 +85,9 @@ def plain(term: str) -> list[str]:
         term = term[0::2]
     out = []
     for part in [term] if term.isupper() or term.islower() else _CAMEL.split(term):
-        if not part.isascii() and (regex.search(r"[A-Za-z]", part) or not regex.search(r"\p{Cyrillic}{3}", part)):
+        if not part.isascii() and (_LATIN_LETTER.search(part) or not _CYRILLIC_RUN.search(part)):
             part = part.translate(LOOKALIKES)
-        if regex.search(r"[0-9$@!€]", part) and regex.search(r"\p{L}", part):
+        if _LETTER_SIGN.search(part) and _LETTER.search(part):
             part = part.translate(SIGNS)
         out += [w for w in _BREAK.split(part.casefold()) if w]
     return out
@@ -101,14 +110,14 @@ def is_structured(line: str) -> bool:
     letters = sum(map(str.isalpha, body))
     signs = sum(map(body.count, "()[]{}=;\"'`|\t\\&"))
     digits = sum(map(str.isdigit, body))
-    if signs + digits >= max(5, 0.3 * letters) and not regex.search(r"[$€£]\s?\d|\d\s?[$€£]", body):
+    if signs + digits >= max(5, 0.3 * letters) and not _PRICE.search(body):
         return True
     names = _IDENTIFIER.findall(body)
     if _CODE_START.match(line) and (names or signs >= 2 or len(line.split()) <= 2):
         return True
     if len(names) < 2 and signs < 3:
         return False
-    return sum(map(len, names)) >= 0.4 * max(1, len(body.strip())) and len(set(names)) < len(names) * 0.9 + 1 and not regex.search(r"[•|]", body)
+    return sum(map(len, names)) >= 0.4 * max(1, len(body.strip())) and len(set(names)) < len(names) * 0.9 + 1 and not _BULLET.search(body)
 
 
 class Page:
@@ -126,7 +135,7 @@ class Page:
             if not line.strip():
                 continue
             structured = is_structured(line)
-            self.sentence = bool(_CJK.search(line) and regex.search(r"[。？！]", line))
+            self.sentence = bool(_CJK.search(line) and _CJK_STOP.search(line))
             at = 0
             for m in _URL.finditer(line):
                 self._terms(line[at : m.start()], structured)
@@ -158,7 +167,7 @@ class Page:
 
 def latin(word: str) -> bool:
     """Written in Latin letters, digits or signs: the function words of such languages are known here."""
-    return word.isascii() or not regex.search(r"[^\p{Latin}\p{N}\p{P}\p{S}\p{M}]", word)
+    return word.isascii() or not _OTHER_SCRIPT.search(word)
 
 
 def recurrence(words: list[str]) -> list[bool]:
