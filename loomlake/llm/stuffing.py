@@ -34,10 +34,11 @@ LAGS = 12
 FEW_FUNCTION = 0.13  # share of function words below which terms are not sentences
 RECURRENT = 0.45  # share of terms whose pair recurs soon
 SATURATED, SOME_FUNCTION = 0.70, 0.25  # so much recurrence marks terms even with some function words between them
-BARE = 12  # so many terms without any function word are a list
+BARE = 12  # so many terms with at most one function word are a list
 REGULAR = 0.40  # autocorrelation at the best lag
 PROMOTED = 0.30  # share of a page's terms that is its one phrase
 LESS_PROMOTED, POOR = 0.24, 0.42  # a smaller share is enough where few different words stand around the phrase
+LEAST_SEGMENT = 6  # terms
 NEAR = 40  # terms: a recurrence beyond this gap is not one
 
 # Common function words of the languages of the corpus.
@@ -68,6 +69,7 @@ _MARKUP = regex.compile(r"</?(?:a|b|br|code|div|em|h[1-6]|i|img|li|ol|p|pre|span
 _TERM = regex.compile(r"\w(?:([*._~+-])\w(?:\1\w){2,})|[^\W_][\w$@!€'’-]*[\w$€]|\w|\$\w+")
 _BREAK = regex.compile(r"[_-]|(?<=^\p{L}{1,2})['’]")  # also after the elided words of French and Italian
 _SPACED = regex.compile(r"^\w([*._~+-])\w(?:\1\w){2,}$")
+_STOP = regex.compile(r"[`\"')]?[.?!。？！](?:\s|$)")
 _ENDER = regex.compile(r"\s?[,;|•>·/\]]|\s[-–—]\s|\s*$")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -128,6 +130,7 @@ class Page:
         self.size: list[int] = []
         self.kind: list[int] = []  # 0 word, 1 function word or sentence, 2 link, 3 structured
         self.items: list[bool] = []  # the term ends a list item
+        self.stops: list[int] = []  # places after which a sentence has ended
         for raw in text.split("\n"):
             line = unicodedata.normalize("NFKC", raw)
             if "<" in line or ">" in line:  # mark-up goes, the links in it stay
@@ -163,6 +166,8 @@ class Page:
                 self._add(w, size, kind)
             if self.items and not structured:
                 self.items[-1] = bool(_ENDER.match(part, m.end(), m.end() + 3))
+                if _STOP.match(part, m.end(), m.end() + 4):
+                    self.stops.append(len(self.words))
 
 
 def latin(word: str) -> bool:
@@ -226,6 +231,18 @@ def promoted_share(page: Page) -> float:
     return share
 
 
+def windows(page: Page, width: int, step: int) -> Iterator[tuple[int, int]]:
+    """Overlapping windows over the terms; none reaches over the end of a sentence, but short sentences go together."""
+    n = len(page.words)
+    start = 0
+    for stop in [*page.stops, n]:
+        if stop == start or stop - start < LEAST_SEGMENT and stop < n:
+            continue
+        for a in range(start, max(start + 1, stop - step), step):
+            yield a, min(stop, a + width)
+        start = stop
+
+
 def spam_share(text: str) -> float:
     """The share of a text's characters that stands in stuffed keywords, link lists, tag lists or promoted phrases."""
     page = Page(text)
@@ -239,8 +256,7 @@ def spam_share(text: str) -> float:
     marked = [False] * n
     width = WINDOW if n >= 2 * WINDOW else WINDOW // 2  # short pages: narrower, or a sentence hides the list after it
     step = width // 2
-    for a in range(0, max(1, n - step), step):
-        b = min(n, a + width)
+    for a, b in windows(page, width, step):
         kinds = page.kind[a:b]
         m = b - a
         structured = kinds.count(3)
@@ -260,7 +276,7 @@ def spam_share(text: str) -> float:
                 or repeats >= RECURRENT
                 or m >= 8 and autocorrelation(words) >= REGULAR
                 or m >= 10 and enders >= 0.3 and structured <= 0.15 * m
-                or m >= BARE and function <= 0.05 and structured == 0 and all(map(latin, words))
+                or m >= BARE and kinds.count(1) <= m // BARE and structured == 0 and all(map(latin, words))
             ):
                 for i in range(a, b):
                     marked[i] = marked[i] or page.kind[i] != 3
