@@ -69,6 +69,7 @@ _MARKUP = regex.compile(r"</?(?:a|b|br|code|div|em|h[1-6]|i|img|li|ol|p|pre|span
 _TERM = regex.compile(r"\w(?:([*._~+-])\w(?:\1\w){2,})|[^\W_][\w$@!€'’-]*[\w$€]|\w|\$\w+")
 _BREAK = regex.compile(r"[_-]|(?<=^\p{L}{1,2})['’]")  # also after the elided words of French and Italian
 _SPACED = regex.compile(r"^\w([*._~+-])\w(?:\1\w){2,}$")
+_CITED = regex.compile(r"\s*(?:\[\w{1,3}\]:?|\(\d{1,3}\)|sources?:|see)\s+\S+\s*(?:\[\d+\])?\s*$", regex.IGNORECASE)  # a numbered or named source
 _STOP = regex.compile(r"[`\"')]?[.?!。？！](?:\s|$)")
 _ENDER = regex.compile(r"\s?[,;|•>·/\]]|\s[-–—]\s|\s*$")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
@@ -137,12 +138,13 @@ class Page:
                 line = _MARKUP.sub(lambda m: " " + " ".join(_URL.findall(m.group())) + " ", line)
             if not line.strip():
                 continue
-            structured = is_structured(line)
+            cited = bool(_CITED.match(line))
+            structured = cited or is_structured(line)
             self.sentence = bool(_CJK.search(line) and _CJK_STOP.search(line))
             at = 0
             for m in _URL.finditer(line):
                 self._terms(line[at : m.start()], structured)
-                self._add("\0url", len(m.group()), 2)
+                self._add("\0url", len(m.group()), 3 if cited else 2)
                 at = m.end()
             self._terms(line[at:], structured)
             if self.items:
