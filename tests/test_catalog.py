@@ -328,3 +328,8 @@ def test_collections_are_replaced_one_by_one(spark, tmp_path):
     assert dict(rows(stores.collection_counts(spark, at))) == {"a": 1, "b": 1}
     with pytest.raises(LookupError):
         semantic.found(d, "id", "9")
+
+
+def test_every_post_is_tokenized(spark, folder):
+    at = folder(documents=[{"doc_id": i, "text": t} for i, t in ((1, "Why BillAmount?"), (7, None), (99, "copay"), (100, "visits, dob"), (101, ""))])
+    assert set(rows(R.QUERIES["tokenize_posts"](spark, at))) == {(1, "BillAmount"), (1, "billamount"), (99, "copay"), (100, "visits"), (100, "dob")}
