@@ -22,6 +22,7 @@ TITLES = frozenset(
     """dr doctor prof professor mr mrs ms miss mx sir dame fr sr md do facs facp frcs frcp mbbs phd dds rn np pa attending locum resident
     consultant for on call the""".split()
 )
+PARTICLES = frozenset(("al", "da", "de", "di", "do", "du", "el", "la", "le", "lo", "st", "te"))
 SUFFIXES = frozenset(("jr", "junior", "ii", "iii", "iv"))
 # Texts that stand where a name should, and name nobody.
 NOBODY = frozenset(("", "na", "none", "null", "nil", "tbd", "tba", "tbc", "unknown", "resident", "see chart", "on call", "oncall", "baby", "staff", "various", "locum", "attending", "test", "x", "xxx", "dr", "doctor", "unassigned", "not given", "pending"))
@@ -117,9 +118,16 @@ def same_given(a: str, b: str) -> int:
 
 
 def family_distance(a: str, b: str, most: int = 2) -> int:
-    """Edits between surnames; of a double name the nearest single part counts."""
-    best = min((osa(x, y, most) for x in a.split("-") for y in b.split("-") if len(x) > 1 and len(y) > 1), default=most + 1)
-    return best
+    """Edits between surnames; of a double name the nearest single part counts.  Two edits make any two letters of any others: they never link parts of two letters."""
+    pairs = ((x, y, osa(x, y, most)) for x in a.split("-") for y in b.split("-") if len(x) > 1 and len(y) > 1)
+    return min((d for x, y, d in pairs if d < 2 or min(len(x), len(y)) > 2), default=most + 1)
+
+
+def family_keys(family: str) -> list[str]:
+    """The parts of a surname that find it: all of two letters or more, but a particle only where no longer part is there."""
+    parts = [w for w in family.split("-") if len(w) > 1]
+    long = any(len(w) > 2 for w in parts)
+    return [w for w in parts if not (long and w in PARTICLES)]
 
 
 class Name:

@@ -19,7 +19,7 @@ from loomlake.llm.addresses import places
 from loomlake.llm.edits import osa
 from loomlake.llm.graph import components
 from loomlake.llm.metric_join import radius_join
-from loomlake.llm.names import Name, family_distance, read_doctor, read_person, same_given
+from loomlake.llm.names import Name, family_distance, family_keys, read_doctor, read_person, same_given
 from loomlake.session import durable
 
 _YEAR_FIRST = regex.compile(r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})")
@@ -28,11 +28,11 @@ _NO_DIGIT = regex.compile(r"\D")
 
 DOCTOR_RADIUS = 4  # two edits on either side
 PATIENT_RADIUS = 4
-LEAST_PART = 3  # shorter parts of a double name are no key
+SHORT = 2  # a surname of so many letters is found by the given name too; that of a doctor is never misspelt
 
 # ---------------------------------------------------------------- doctors
 
-_READ = "id long, clinic_id string, text string, given string, family string, suffix string"
+_READ = "id long, clinic_id string, text string, given string, family string, suffix string, keys array<string>"
 
 
 def _doctors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,10 +41,10 @@ def _doctors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, c, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             n = read_doctor(t)
             if n is not None and n.family:
-                out.append((i, c, t, n.given, n.family, n.suffix))
-        cols = list(zip(*out, strict=True)) if out else [[] for _ in range(6)]
-        kinds = [pa.int64()] + [pa.string()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "clinic_id", "text", "given", "family", "suffix"])
+                out.append((i, c, t, n.given, n.family, n.suffix, family_keys(n.family)))
+        cols = list(zip(*out, strict=True)) if out else [[] for _ in range(7)]
+        kinds = [pa.int64()] + [pa.string()] * 5 + [pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "clinic_id", "text", "given", "family", "suffix", "keys"])
 
 
 def _judged_doctors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +57,8 @@ def _judged_doctors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             fa, fb = len(ga) > 1, len(gb) > 1
             if r["a_suffix"] != r["b_suffix"] and r["a_suffix"] and r["b_suffix"]:
                 continue
+            if d and min(len(r["a_family"]), len(r["b_family"])) <= SHORT:
+                continue
             if fa and fb:
                 ok = same_given(ga, gb) == 2 and d <= (3 if ga == gb else 2)
                 kind = "full"
@@ -73,10 +75,6 @@ def _judged_doctors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "d", "link", "a_full"])
 
 
-def _family_keys(c: str) -> F.Column:
-    return F.explode(F.filter(F.split(F.col(c), "-"), lambda x: F.length(x) >= LEAST_PART))
-
-
 def doctor_groups(visits: DataFrame) -> DataFrame:
     """(clinic_id, text, grp): spellings that name a doctor, with the doctor's group in that clinic.
 
@@ -91,7 +89,7 @@ def doctor_groups(visits: DataFrame) -> DataFrame:
         .select(F.xxhash64("clinic_id", "text").alias("id"), "clinic_id", "text")
     )
     known = durable(texts.mapInArrow(_doctors, _READ))
-    keyed = known.select(F.col("clinic_id").alias("block"), _family_keys("family").alias("name"), "id")
+    keyed = known.select(F.col("clinic_id").alias("block"), F.explode("keys").alias("name"), "id")
     near = radius_join(keyed, DOCTOR_RADIUS)
     side = lambda s: known.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("given", "family", "suffix")])
     links = durable(near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_judged_doctors, "a long, b long, d int, link string, a_full boolean"))
@@ -210,7 +208,9 @@ def _people(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n is None:
                 continue
             born, tel = birth(dob), digits(phone)
-            keys = [w for w in n.family.split("-") if len(w) >= LEAST_PART] or ([n.given] if n.given else [])
+            keys = family_keys(n.family)
+            if n.given and all(len(w) <= SHORT for w in keys):
+                keys.append(n.given)
             blocks = [k + v for k, v in (("d", born), ("p", tel), ("a", None if place is None else str(place))) if v]
             sex = (gender or "").strip().lower()[:1]
             rows.append((i, place, n.given, n.family, n.suffix, born, tel, sex if sex in ("m", "f") else None, (blood or "").strip().upper() or None, blocks, keys))

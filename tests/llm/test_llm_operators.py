@@ -369,3 +369,16 @@ def test_counts_agree_with_ids(spark):
     df = spark.createDataFrame([(1, "Hello there, you"), (2, None)], "doc_id long, text string")
     ids, n = dict(rows(tokenizing.token_ids(df))), dict(rows(tokenizing.token_counts(df)))
     assert {k: len(v) for k, v in ids.items()} == n
+
+
+def test_surnames_of_two_letters(spark, folder):
+    texts = ["Dr. Wei Li", "Wei Li MD", "Li, Wei", "Dr. Wei Ng", "Dr. Wei Lu", "Dr. Ana Martinez"]
+    visits = [{"visit_id": f"V{i}", "clinic_id": "C", "doctor_name": t} for i, t in enumerate(texts)]
+    people = [("A", "Alexander", "Ng"), ("B", "Sasha", "Ng"), ("C", "Alexander", "Wu"), ("D", "Alexander", ""), ("E", "Maria", "de la Cruz"), ("F", "Maria", "de Montenegro")]
+    patients = [{"patient_id": i, "first_name": a, "last_name": b, "dob": "1980-02-03" if i < "E" else "1981-04-05", "gender": "F", "blood_type": "A+", "phone": "555-201-9934" if i in "ABD" else None} for i, a, b in people]
+    got = rows(Q.p1_found(spark, folder(visits=visits, patients=patients)).drop("clinic_id"))
+    doctors = {tuple(x[1:]) for x in got if x[0] == "doctor"}
+    assert doctors == set(itertools.combinations(sorted(texts[:3]), 2))
+    assert {tuple(x[1:]) for x in got if x[0] == "patient"} >= {("A", "B"), ("A", "D")}
+    assert not {("A", "C"), ("E", "F")} & {tuple(x[1:]) for x in got}
+    assert names.family_keys("de-la-cruz") == ["cruz"] and names.family_keys("li-martinez") == ["li", "martinez"] and names.family_keys("le") == ["le"]
