@@ -30,7 +30,8 @@ _POSTAL_CUT = regex.compile(r"(?<!\d)\d{3}[-\s]\d{3}(?=\s*(?:$|[,;\n]|-))")
 _POSTAL_ANYWHERE = regex.compile(r"(?<!\d)\d{3}[-\s]\d{3}(?!\d)")
 _NO_DIGIT = regex.compile(r"\D")
 
-MOST_CHARACTERS = 500
+LONG = 500  # town words of more characters are compared by three of their pieces
+MANY = 20  # equal town words from which the rest of an address can't cost ALIGNED a word
 BANDS = 16  # one row each: within equal number, unit and town even half-equal names meet
 NAME_EDITS = 2
 ALIGNED = 0.34  # alignment cost per token
@@ -53,7 +54,10 @@ _TYPE = {a: t for t, others in TYPES.items() for a in (t, *others)}
 _DIRECTION = {a: d for d, others in DIRECTIONS.items() for a in (d, *others)}
 _PREFIX = {a: p for p, others in PREFIXES.items() for a in (p, *others)}
 
-_NOTE = regex.compile(r"\([^)]*\)|\bc/o\s+\w+|\bring\s+twice\b|\battn?:?\s+\w+")
+_OPEN_NOTE = r"\bc/o\s+\w+|\bring\s+twice\b|\battn?:?\s+\w+"
+_NOTE, _OPEN_NOTE = regex.compile(r"\([^)]*\)|" + _OPEN_NOTE), regex.compile(_OPEN_NOTE)
+_BLANKS = regex.compile(r"\s{3,}")
+_MARKS = regex.compile(r"\p{M}{20,}")
 _BOX = regex.compile(r"\bp\.?\s*o\.?\s*box\b|\bpost\s*(?:office\s*)?box\b|\bpmb\b")
 _UNIT = regex.compile(r"(?:\b(?:" + "|".join(UNITS) + r")\b\.?\s*#?\s*|#\s*)([0-9]+\s?[a-z]?|[a-z])\b")
 _UNIT_FUZZY = regex.compile(r"\b([a-z]{6,11})\.?\s+([0-9]+[a-z]?)\b")
@@ -78,20 +82,24 @@ def near_key(word: str, table: dict[str, str], least: int = 4) -> str | None:
     return None
 
 
+def _two_blanks(m: regex.Match) -> str:
+    """Two stand for any more: the patterns ask for none, one or some, and for breaks between parts."""
+    return next((2 * x for x in "\n\t\r" if x in m.group()), "  ")
+
+
 def read(text: str | None) -> tuple[str, str, str, str, str, str, str] | None:
     """(number, direction, name, type, unit, town words, postal code); null where the text names no place.
 
-    Number, street name and one of town and postal code must be there.  A text of
-    more than 500 characters is prose and no address.
+    Number, street name and one of town and postal code must be there.  A text
+    of any length is read whole, in linear time.
     """
     if not text or not text.strip():
         return None
-    if len(text) > MOST_CHARACTERS:
-        return None
-    t = folded(text)
+    t = _BLANKS.sub(_two_blanks, folded(_MARKS.sub("", text)))
     if _BOX.search(t):
         return None
-    t = _NOTE.sub(" ", t)
+    closed = t.rfind(")") + 1  # beyond it no bracket closes
+    t = _NOTE.sub(" ", t[:closed]) + _OPEN_NOTE.sub(" ", t[closed:])
     unit = ""
     m = _UNIT.search(t)
     if m:
@@ -260,6 +268,12 @@ def _cuts(c: str) -> F.Column:
     return F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c))))))
 
 
+def _pieces(c: str, shift: int) -> F.Column:
+    """Hashes of the first and last 150 characters and of 100 in the middle, these also up to ``shift`` further left and right."""
+    middle = [F.xxhash64(F.lit("m"), F.substring(c, 200 + i, 100)) for i in range(-shift, shift + 1)]
+    return F.array_distinct(F.array(F.xxhash64(F.lit("b"), F.substring(c, 1, 150)), F.xxhash64(F.lit("e"), F.substring(c, -150, 150)), *middle))
+
+
 def with_town(forms: DataFrame) -> DataFrame:
     """Add ``town``: by postal code, else by the town's words, exact or misspelt (forms with one letter less meet in a join)."""
     towns = durable(known_towns(forms))
@@ -269,13 +283,11 @@ def with_town(forms: DataFrame) -> DataFrame:
     exact = bare.join(names, bare["town_words"] == names["town"], "left")
     hit, miss = exact.where("town is not null"), exact.where("town is null").drop("town")
     lost = miss.select("town_words").distinct()
-    near = (
-        lost.withColumn("k", F.explode(_cuts("town_words")))
-        .join(names.withColumn("k", F.explode(_cuts("town"))), "k")
-        .select("town_words", "town")
-        .distinct()
-        .withColumn("d", F.levenshtein("town_words", "town"))
-    )
+    meet = lost.where(F.length("town_words") <= LONG).withColumn("k", F.explode(_cuts("town_words"))).join(names.where(F.length("town") <= LONG + 1).withColumn("k", F.explode(_cuts("town"))), "k")
+    # longer ones: two letters cut, one on either side, leave the beginning, the end or, moved by one, the middle
+    long = lost.where(F.length("town_words") > LONG).withColumn("k", F.explode(_pieces("town_words", 0)))
+    far = long.join(names.where(F.length("town") >= LONG).withColumn("k", F.explode(_pieces("town", 1))), "k")
+    near = meet.unionByName(far).select("town_words", "town").distinct().withColumn("d", F.levenshtein("town_words", "town", 2)).where("d >= 0")
     best = near.groupBy("town_words").agg(F.min(F.struct("d", "town")).alias("b")).where("b.d <= 2").select("town_words", F.col("b.town").alias("town"))
     fixed = miss.join(best, "town_words", "left").withColumn("town", F.coalesce("town", "town_words"))
     columns = [*forms.columns, "town"]
@@ -300,7 +312,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low, high = sorted((r["a_rows"], r["b_rows"]))
                 d = osa(x, y, most)
                 ok = d <= most and (low < SURE or low <= RARE * high or d == 1 and (low < 2 * SURE or low <= COMMON * high))
-            if ok:
+            if ok and r["a_town"].count(" ") < MANY:
                 both = [[w for w in (r[f"{s}_number"], r[f"{s}_direction"], r[f"{s}_name"], r[f"{s}_kind"], r[f"{s}_unit"], *r[f"{s}_town"].split()) if w] for s in "ab"]
                 ok = aligned_cost(*both) <= ALIGNED
             keep.append(ok)

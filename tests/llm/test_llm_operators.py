@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import string
+import time
 
 import numpy as np
 import pytest
@@ -312,6 +313,30 @@ def test_alignment_costs():
     assert addresses.aligned_cost(["12"], ["13"]) > 0.5 and addresses.aligned_cost([], []) == 0.0
 
 
+def test_long_addresses_are_read(spark, folder):
+    note = ", please leave the parcel with the porter behind the blue door" * 20
+    town = "Weston by the sea" + " where the ferry lands" * 30
+    a = [SAME[0], SAME[0].replace(" ", " " * 300), SAME[0] + note, "(" + "ring the bell " * 60 + ") " + SAME[1], f"9 Elm St, {town}, 123456", f"9 Elm St, {town.replace('by', 'bby')}", f"9 Elm St, {town[:-1]}"]
+    got = rows(Q.p6_found(spark, folder(patients=[{"patient_id": f"P{i}", "address": x} for i, x in enumerate(a)])))
+    assert sorted(got) == [*itertools.combinations(("P0", "P1", "P2", "P3"), 2), *itertools.combinations(("P4", "P5", "P6"), 2)]
+
+
+@pytest.mark.parametrize("text", ["1 apt" + " " * 300_000 + "?", "1 Elm " + "(" * 300_000, "1 " + "x" * 300_000 + ", a", "1 Elm, a" + "\u0301\u0323" * 150_000, "c/o " * 100_000, "p." + " \n" * 150_000, "1 " + "ab, " * 50_000])
+def test_reading_takes_linear_time(text):
+    began = time.process_time()
+    addresses.read(text)
+    assert time.process_time() - began < 15
+
+
+def test_banded_distances():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+        d = edits.osa(a, b)
+        assert all(edits.osa(a, b, m) == min(d, m + 1) for m in range(5))
+    assert edits.osa("a" + "xy" * 50_000 + "b", "c" + "xy" * 50_000 + "d", 2) == 2
+
+
 # ------------------------------------------------------------ 10: stuffed pages
 
 
