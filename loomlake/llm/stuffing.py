@@ -71,9 +71,10 @@ _BREAK = regex.compile(r"[_-]|(?<=^\p{L}{1,2})['’]")  # also after the elided
 _SPACED = regex.compile(r"^\w([*._~+-])\w(?:\1\w){2,}$")
 _CITED = regex.compile(r"\s*(?:\[\w{1,3}\]:?|\(\d{1,3}\)|sources?:|see)\s+\S+\s*(?:\[\d+\])?\s*$", regex.IGNORECASE)  # a numbered or named source
 _STOP = regex.compile(r"[`\"')]?[.?!。？！](?:\s|$)")
-_ENDER = regex.compile(r"\s?[,;|•>·/\]]|\s[-–—]\s|\s*$")
+_ENDER = regex.compile(r"\s?[,;|•>·/\]、]|\s[-–—]\s|\s*$")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_CJK_SENTENCE = regex.compile(r"[的了是我你他她它们們这這那吗嗎呢吧也很没沒を]|不(?:要|能|会|會|是|到)|可以|因为|因為|所以|如果|需要|[はがに]\p{Han}|です|ます|ません|まし|した|して|する|ない|くださ|から|ので|では")  # particles and endings
 _STAMP = regex.compile(r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\b\d\d:\d\d:\d\d\b")
 _CODE_START = regex.compile(
     r"^\s*(?:import|from|select|where|group by|having|order by|with|def|class|return|if|else|for|while|try|except|raise|yield|val|var|let|const|assert|print|public|private|static|function|File|Traceback|at|#include|\)|\}|\]|\{|//|--\s)\b|^\s*[\)\}\]\{]"
@@ -161,7 +162,7 @@ class Page:
             for w, size, cjk in term_words(m.group()):
                 if structured:
                     kind = 3
-                elif w in FUNCTION_WORDS or (cjk and (self.sentence or len(w) >= 5)):
+                elif w in FUNCTION_WORDS or (cjk and (self.sentence or len(w) >= 5 and _CJK_SENTENCE.search(w))):
                     kind = 1
                 else:
                     kind = 0

@@ -407,3 +407,16 @@ def test_surnames_of_two_letters(spark, folder):
     assert {tuple(x[1:]) for x in got if x[0] == "patient"} >= {("A", "B"), ("A", "D")}
     assert not {("A", "C"), ("E", "F")} & {tuple(x[1:]) for x in got}
     assert names.family_keys("de-la-cruz") == ["cruz"] and names.family_keys("li-martinez") == ["li", "martinez"] and names.family_keys("le") == ["le"]
+
+
+LONG_ITEMS = ["不锈钢保温杯", "无线蓝牙耳机", "家用空气净化器", "便携式充电宝", "智能运动手表", "儿童益智玩具", "真皮商务钱包", "男士休闲皮鞋", "电动剃须刀头", "折叠户外帐篷", "厨房多功能刀具", "高清投影仪器"]
+
+
+@pytest.mark.parametrize("mark", ["，", ", ", "、", "\n"])
+def test_long_cjk_items_are_a_list(mark):
+    assert stuffing.spam_share(mark.join(LONG_ITEMS)) > 0.5
+
+
+@pytest.mark.parametrize("text", ["我先把表排序了，再删除重复的记录，这样就没有问题，不要把主键当作数字，前导零会丢失的，你可以先试一下，我这里是好的", "まず表を並べ替えて、次に重複を削除します、主キーは数値として読まないでください、先頭のゼロが消えるからです"])
+def test_long_cjk_clauses_are_no_list(text):
+    assert stuffing.spam_share(text) <= 0.5
