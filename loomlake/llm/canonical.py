@@ -29,7 +29,6 @@ NONE = "NONE"
 MOST_PATTERNS = 1_000_000  # the automaton is a broadcast: a longer reference list is refused
 MOST_REMEMBERED = 200_000
 NEAR_SHARE, NEAR_WORD, NEAR_MOVED = 0.22, 0.45, 0.15  # edits per character: of the entry, of any of its words, and of the entry where spaces moved
-CANDIDATES = 6
 
 # Other names of entries, by field. Left: the entry. Right: names for the same thing.
 ALIASES: dict[str, dict[str, tuple[str, ...]]] = {
@@ -275,16 +274,15 @@ class Resolver:
         if len(joined) < 4:
             return None
         score: dict[int, int] = defaultdict(int)
-        for g in {joined[j : j + 2] for j in range(len(joined) - 1)}:
+        grams = {joined[j : j + 2] for j in range(len(joined) - 1)}
+        for g in grams:
             for k in self.grams.get(g, ()):
                 score[k] += 1
-        if not score:
-            return None
-        size = lambda k: -score[k] / (len(joined) + len(self.names[k][1]))
         best: dict[str, int] = {}
-        for k in sorted(score, key=lambda k: (size(k), k))[:CANDIDATES]:
-            name = self.names[k][1]
+        for k, (_, name, _) in enumerate(self.names):
             most = max(1, int(NEAR_SHARE * max(len(name), 5)))
+            if abs(len(name) - len(joined)) > most or score.get(k, 0) < len(grams) - 3 * most:
+                continue  # an edit, a swap of neighbours too, changes three bigrams at most
             d = osa(joined, name, most)
             if d > most:
                 continue

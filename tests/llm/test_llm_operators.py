@@ -420,3 +420,9 @@ def test_long_cjk_items_are_a_list(mark):
 @pytest.mark.parametrize("text", ["我先把表排序了，再删除重复的记录，这样就没有问题，不要把主键当作数字，前导零会丢失的，你可以先试一下，我这里是好的", "まず表を並べ替えて、次に重複を削除します、主キーは数値として読まないでください、先頭のゼロが消えるからです"])
 def test_long_cjk_clauses_are_no_list(text):
     assert stuffing.spam_share(text) <= 0.5
+
+
+def test_every_near_name_counts():
+    names_of_one = [("A", f"{c}rthopedic") for c in "bdghkm"]
+    assert canonical.Resolver("department", names_of_one).resolve("orthopedic") == "A"
+    assert canonical.Resolver("department", [*names_of_one, ("B", "orthupedic")]).resolve("orthopedic") == "NONE"
