@@ -75,33 +75,33 @@ def lineage_documents(l: DataFrame) -> DataFrame:
 def chain_documents(e: DataFrame) -> DataFrame:
     c = F.col
     text = parts(("End-to-End Lineage", c("bi_column")), ("Chain", c("chain")), ("Transformation", c("transformation_type")))
-    return _doc(e, "bi_lineage", "end_to_end", id_text(F.lit("e2e"), c("bi_table"), c("bi_column")), text, pbi_column=c("bi_column"), pbi_table=c("bi_table"), gold_column=c("gold_column"), bronze_column=c("bronze_column"), source_column=c("source_column"))
+    return _doc(e, "pbi_lineage", "pbi_end_to_end", id_text(F.lit("pbi_e2e"), c("bi_table"), c("bi_column")), text, pbi_column=c("bi_column"), pbi_table=c("bi_table"), gold_column=c("gold_column"), bronze_column=c("bronze_column"), source_column=c("source_column"))
 
 
 def column_documents(b: DataFrame) -> DataFrame:
     c = F.col
-    text = parts(("BI Column", c("bi_column")), ("Table", c("bi_table")), ("Dataset", c("dataset")), ("Type", c("bi_type")), ("Gold", F.concat_ws(".", "gold_view", "gold_column")))
-    return _doc(b, "bi_catalog", "bi_column", id_text(F.lit("bi_col"), c("bi_table"), c("bi_column")), text, pbi_column=c("bi_column"), pbi_table=c("bi_table"), gold_view=c("gold_view"), gold_column=c("gold_column"))
+    text = parts(("PBI Column", c("bi_column")), ("Table", c("bi_table")), ("Dataset", c("dataset")), ("Type", c("bi_type")), ("Gold", F.concat_ws(".", "gold_view", "gold_column")))
+    return _doc(b, "pbi_catalog", "pbi_column", id_text(F.lit("pbi_col"), c("bi_table"), c("bi_column")), text, pbi_column=c("bi_column"), pbi_table=c("bi_table"), gold_view=c("gold_view"), gold_column=c("gold_column"))
 
 
 def measure_documents(m: DataFrame) -> DataFrame:
     c = F.col
-    text = parts(("BI Measure", c("measure")), ("Table", c("bi_table")), ("Dataset", c("dataset")), ("Expression", c("expression")), ("Depends on columns", c("depends_on")))
-    return _doc(m, "bi_catalog", "bi_measure", id_text(F.lit("bi_measure"), c("bi_table"), c("measure")), text, measure_name=c("measure"), pbi_table=c("bi_table"))
+    text = parts(("PBI Measure", c("measure")), ("Table", c("bi_table")), ("Dataset", c("dataset")), ("Expression", c("expression")), ("Depends on columns", c("depends_on")))
+    return _doc(m, "pbi_catalog", "pbi_measure", id_text(F.lit("pbi_measure"), c("bi_table"), c("measure")), text, measure_name=c("measure"), pbi_table=c("bi_table"))
 
 
 def report_documents(t: DataFrame) -> DataFrame:
     """One per report that a tile shows; its first tile counts."""
     first = F.row_number().over(Window.partitionBy("report").orderBy("tile_id"))
     one = t.withColumn("_r", first).where("_r = 1")
-    return _doc(one, "bi_catalog", "bi_report", id_text(F.lit("bi_report"), F.col("report")), parts(("BI Report", F.col("report")), ("Dataset", F.col("dataset"))), report_name=F.col("report"))
+    return _doc(one, "pbi_catalog", "pbi_report", id_text(F.lit("pbi_report"), F.col("report")), parts(("PBI Report", F.col("report")), ("Dataset", F.col("dataset"))), report_name=F.col("report"))
 
 
 def dashboard_documents(h: DataFrame) -> DataFrame:
     c = F.col
-    listing = _doc(h, "bi_catalog", "bi_dashboard", id_text(F.lit("bi_dashboard"), c("dashboard")), parts(("BI Dashboard", c("dashboard")), ("Tiles", c("tiles")), ("Reports", c("reports"))), dashboard_name=c("dashboard"), tile_count=c("n_tiles"))
-    text = F.concat(F.lit("BI Artifact Hierarchy: Dashboard '"), c("dashboard"), F.lit("' -> contains Tiles -> linked to Reports: "), c("reports"), F.lit(" -> Reports use Datasets: "), c("datasets"))
-    return listing.unionByName(_doc(h, "bi_catalog", "bi_artifact_relationship", id_text(F.lit("bi_rel"), c("dashboard")), text, dashboard_name=c("dashboard")))
+    listing = _doc(h, "pbi_catalog", "pbi_dashboard", id_text(F.lit("pbi_dashboard"), c("dashboard")), parts(("PBI Dashboard", c("dashboard")), ("Tiles", c("tiles")), ("Reports", c("reports"))), dashboard_name=c("dashboard"), tile_count=c("n_tiles"))
+    text = F.concat(F.lit("PBI Artifact Hierarchy: Dashboard '"), c("dashboard"), F.lit("' -> contains Tiles -> linked to Reports: "), c("reports"), F.lit(" -> Reports use Datasets: "), c("datasets"))
+    return listing.unionByName(_doc(h, "pbi_catalog", "pbi_artifact_relationship", id_text(F.lit("pbi_rel"), c("dashboard")), text, dashboard_name=c("dashboard")))
 
 
 def summary_document(docs: DataFrame) -> DataFrame:

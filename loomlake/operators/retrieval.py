@@ -21,19 +21,32 @@ FEEDBACK_TOP, FEEDBACK_SIMILARITY, FEEDBACK_BOOST = 5, 0.6, 0.5
 LAMBDA = 0.5
 QUERY_BLOCK = 4096  # query vectors held by one task at a time
 
-# Which metadata fields a token is looked up in, and what a hit scores.
+# Fixed values: (collection, metadata field a token is looked up in, score of a hit).
 PROBES = (
-    ("data_dictionary", "column", 1.0), ("data_dictionary", "original_name", 0.95), ("lineage", "source_column", 0.95), ("lineage", "silver_column", 0.95),
-    ("lineage", "gold_column", 0.90), ("ontology", "entity", 0.90), ("bi_lineage", "pbi_column", 0.95), ("bi_lineage", "gold_column", 0.90), ("bi_lineage", "bronze_column", 0.90),
-    ("bi_lineage", "source_column", 0.90), ("bi_catalog", "pbi_column", 0.95), ("bi_catalog", "measure_name", 0.95), ("bi_catalog", "report_name", 0.90), ("bi_catalog", "dashboard_name", 0.90),
-)
-# Words that ask for all documents of a type.
+    ("data_dictionary", "column", 1.0),
+    ("data_dictionary", "original_name", 0.95),
+    ("lineage", "source_column", 0.95),
+    ("lineage", "silver_column", 0.95),
+    ("lineage", "gold_column", 0.90),
+    ("ontology", "entity", 0.90),
+    ("pbi_lineage", "pbi_column", 0.95),
+    ("pbi_lineage", "gold_column", 0.90),
+    ("pbi_lineage", "bronze_column", 0.90),
+    ("pbi_lineage", "source_column", 0.90),
+    ("pbi_catalog", "pbi_column", 0.95),
+    ("pbi_catalog", "measure_name", 0.95),
+    ("pbi_catalog", "report_name", 0.90),
+    ("pbi_catalog", "dashboard_name", 0.90),
+)
+# Fixed values: (words that ask for all documents of a type, collection, type, score of a hit).
 TYPE_WORDS = (
-    *((w, "bi_catalog", "bi_dashboard", 0.90) for w in ("dashboard", "dashboards", "tile", "tiles")),
-    *((w, "bi_catalog", "bi_report", 0.90) for w in ("report", "reports")),
-    *((w, "bi_catalog", "bi_measure", 0.90) for w in ("measure", "measures", "kpi", "dax", "calculated", "formula", "revenue", "copay", "coverage", "count")),
-    *((w, "bi_lineage", "end_to_end", 0.85) for w in ("end-to-end", "e2e", "pbi", "powerbi", "power")),
-    *((w, "data_dictionary", "catalog_summary", 1.0) for w in ("overview", "summary", "catalog", "available", "knowledge", "mesh")),
+    ("end-to-end e2e pbi powerbi power", "pbi_lineage", "pbi_end_to_end", 0.85),
+    ("dashboard dashboards", "pbi_catalog", "pbi_dashboard", 0.90),
+    ("report reports", "pbi_catalog", "pbi_report", 0.90),
+    ("measure measures kpi dax calculated formula", "pbi_catalog", "pbi_measure", 0.90),
+    ("tile tiles", "pbi_catalog", "pbi_dashboard", 0.90),
+    ("revenue copay coverage count", "pbi_catalog", "pbi_measure", 0.90),
+    ("overview summary catalog available knowledge mesh", "data_dictionary", "catalog_summary", 1.0),
 )
 
 
@@ -58,7 +71,7 @@ def keyword_hits(toks: DataFrame, docs: DataFrame) -> DataFrame:
     index = docs.select("collection", "id", "document", F.explode("metadata").alias("field", "value")).join(F.broadcast(probe_table(spark)), ["collection", "field"])
     wanted = toks.withColumn("value", F.col("token")).unionByName(toks.withColumn("value", F.initcap("token"))).distinct()
     by_value = index.join(wanted, "value").where((F.col("field") == "entity") | (F.col("value") == F.col("token"))).select("query_id", "collection", "id", "document", "score")
-    kinds = spark.createDataFrame(list(TYPE_WORDS), "word string, collection string, kind string, score double")
+    kinds = spark.createDataFrame([(w, c, k, x) for ws, c, k, x in TYPE_WORDS for w in ws.split()], "word string, collection string, kind string, score double")
     typed = docs.withColumn("kind", F.element_at("metadata", "type")).join(F.broadcast(kinds), ["collection", "kind"])
     words = toks.select("query_id", F.lower("token").alias("word")).distinct()
     by_type = typed.join(words, "word").select("query_id", "collection", "id", "document", "score")

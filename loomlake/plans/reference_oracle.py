@@ -196,9 +196,9 @@ _CONCEPT = f"""{LINEAGE}, cols as (
 _DOCS = f"""with {_KEYS}, {_CONCEPT}, {BI}, {_TILES}, {_MEASURES}, {_REPORTS}, {_DASH}, docs as (
   select 'data_dictionary' as collection, 'data_dictionary' as type, count(*) as n from cols union all select 'data_dictionary', 'concept', count(distinct o) from cols
   union all select 'data_dictionary', 'catalog_summary', 1 union all select 'ontology', 'entity', count(*) from keys union all select 'ontology', 'relationship', count(*) from links
-  union all select 'lineage', 'lineage', count(*) from edges union all select 'bi_lineage', 'end_to_end', count(*) from bi union all select 'bi_catalog', 'bi_column', count(*) from bi
-  union all select 'bi_catalog', 'bi_measure', count(*) from measures union all select 'bi_catalog', 'bi_report', count(distinct report) from tiles join reports using (report_id)
-  union all select 'bi_catalog', 'bi_dashboard', count(*) from dashboards union all select 'bi_catalog', 'bi_artifact_relationship', count(*) from dashboards)"""
+  union all select 'lineage', 'lineage', count(*) from edges union all select 'pbi_lineage', 'pbi_end_to_end', count(*) from bi union all select 'pbi_catalog', 'pbi_column', count(*) from bi
+  union all select 'pbi_catalog', 'pbi_measure', count(*) from measures union all select 'pbi_catalog', 'pbi_report', count(distinct report) from tiles join reports using (report_id)
+  union all select 'pbi_catalog', 'pbi_dashboard', count(*) from dashboards union all select 'pbi_catalog', 'pbi_artifact_relationship', count(*) from dashboards)"""
 
 ORACLE = {
     "catalog_summary_counts": f"{_DOCS} select collection, type, n as n_documents from docs",
@@ -306,12 +306,12 @@ select answer_id, len(bad) = 0 as valid, array_to_string(bad, ',') as invalid fr
     "feedback_retention": "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events where event_type is not null) where r <= 20",
     "feedback_last_100": "select event_id from events order by ts desc, event_id desc limit 100",
     "jsonl_log_roundtrip": "select event_id, user_id, event_type, round(value, 4) as value from events",
-    "push_append_counts": "select 'd001' as dataset_id, 'PatientClinical' as table_name, count(*) as n_rows from nation union all select 'd002', 'FinancialRecords', count(*) from supplier",
+    "push_append_counts": "select 'clinical' as dataset_id, 'PatientClinical' as table_name, count(*) as n_rows from nation union all select 'financial', 'FinancialRecords', count(*) from supplier",
     "stream_events_tumbling": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n_events, round(sum(value), 2) as total from events group by 1, 2",
     "fenced_json": f"""with r as (select * from {values(REPLIES, 'reply_id, reply')}), j as (select reply_id, nullif(regexp_extract(replace(replace(reply, '```json', ''), '```', ''), '(?s)(\\{{.*\\}})', 1), '') as t from r)
 select reply_id, json_extract_string(t, '$.a') as a, json_extract_string(t, '$.b') as b from j""",
     "mapping_keys": f"with {EDGES} select distinct source_table || '_to_' || target_table as mapping, source_table as source, target_table as target from edges",
     "strip_nested_fields": f"with {BI} select dataset, bi_column, bi_type from bi",
-    "feedback_chunks": "select 1 as query_id, unnest(['lineage:bill', 'bi_catalog:bill']) as chunk",
+    "feedback_chunks": "select 1 as query_id, unnest(['lineage:bill', 'pbi_catalog:bill']) as chunk",
     "stream_bronze_append": "select event_id, user_id from events",
 }

@@ -89,7 +89,7 @@ def gold_rename_view(spark, folder):
 
 def push_rename_passthrough(spark, folder):
     """Business names for the gold columns; one column without a name keeps its own."""
-    names = semantic.rename_map("d002", GOLD_NAMES[FINANCIAL.name])
+    names = semantic.rename_map("financial", GOLD_NAMES[FINANCIAL.name])
     names.pop(GOLD_NAMES[FINANCIAL.name]["billing_date"])
     return medallion.renamed(medallion.gold(silver_financial(spark, folder), GOLD_NAMES[FINANCIAL.name]), names)
 
@@ -518,7 +518,7 @@ def ask_catalog(spark, folder):
 def feedback_chunks(spark, folder):
     """Chunks that helped with a question like the one asked."""
     at = scratch(spark)
-    ask.record_feedback(spark, at, "q1", "where does the bill amount come from", ["lineage:bill", "bi_catalog:bill"], True)
+    ask.record_feedback(spark, at, "q1", "where does the bill amount come from", ["lineage:bill", "pbi_catalog:bill"], True)
     ask.record_feedback(spark, at, "q2", "which departments are there", ["data_dictionary:department"], False)
     ask.record_feedback(spark, at, "q3", "who treats the patients", ["data_dictionary:doctor"], True)
     said = durable(ask.approved(spark, at))

@@ -99,7 +99,7 @@ class Dataset:
 # The semantic model's names, types and measure texts.
 DATASETS = (
     Dataset(
-        "d001", "Patient Clinical Analytics", "PatientClinical", "patient_clinical_records",
+        "clinical", "Patient Clinical Analytics", "PatientClinical", "patient_clinical_records",
         tuple(
             BiColumn(n, k, c)
             for n, k, c in (
@@ -116,7 +116,7 @@ DATASETS = (
         ),
     ),
     Dataset(
-        "d002", "Financial Performance", "FinancialRecords", "financial_records",
+        "financial", "Financial Performance", "FinancialRecords", "financial_records",
         tuple(
             BiColumn(n, k, c)
             for n, k, c in (
@@ -134,28 +134,32 @@ DATASETS = (
         ),
     ),
 )
+# A model of our own around the two datasets: reports, dashboards, tiles and past refreshes.
 #: (id, name, dataset id)
 REPORTS = (
-    ("r001", "Patient Demographics Overview", "d001"),
-    ("r002", "Department Performance", "d001"),
-    ("r003", "Revenue Analysis", "d002"),
-    ("r004", "Insurance Coverage Report", "d002"),
+    ("who-we-treat", "Who We Treat", "clinical"),
+    ("ward-load", "Ward Load", "clinical"),
+    ("money-in", "Money In", "financial"),
+    ("payer-share", "Payer Share", "financial"),
 )
 #: (id, name)
-DASHBOARDS = (("db001", "Executive Summary"), ("db002", "Operational Metrics"))
+DASHBOARDS = (("board-room", "Board Room"), ("front-desk", "Front Desk"))
 #: (id, title, dashboard id, report id, dataset id)
 TILES = (
-    ("t001", "Total Patient Count", "db001", "r001", "d001"),
-    ("t002", "Total Revenue", "db001", "r003", "d002"),
-    ("t003", "Department Visit Breakdown", "db001", "r002", "d001"),
-    ("t004", "Insurance Coverage Rate", "db001", "r004", "d002"),
-    ("t005", "Average Patient Copay", "db002", "r003", "d002"),
-    ("t006", "Active Visit Count", "db002", "r001", "d001"),
-    ("t007", "Payment Status Distribution", "db002", "r004", "d002"),
-    ("t008", "Average Patient Age", "db002", "r002", "d001"),
+    ("b1", "Patient count, all sites", "board-room", "who-we-treat", "clinical"),
+    ("b2", "Total revenue to date", "board-room", "money-in", "financial"),
+    ("b3", "Insurance coverage rate by payer", "board-room", "payer-share", "financial"),
+    ("b4", "Wards and their cases", "board-room", "ward-load", "clinical"),
+    ("f1", "Active visits now", "front-desk", "ward-load", "clinical"),
+    ("f2", "Avg copay at the desk", "front-desk", "money-in", "financial"),
+    ("f3", "Claims still open", "front-desk", "payer-share", "financial"),
+    ("f4", "Avg patient age by ward", "front-desk", "who-we-treat", "clinical"),
 )
 #: (dataset id, kind, start, end, status, request id)
 REFRESHES = (
-    ("d001", "ViaApi", "2026-03-25T08:00:00.000Z", "2026-03-25T08:02:15.000Z", "Completed", "ref-001-clinical"),
-    ("d002", "ViaApi", "2026-03-25T08:05:00.000Z", "2026-03-25T08:07:30.000Z", "Completed", "ref-001-financial"),
+    ("clinical", "Scheduled", "2024-06-28T02:00:00Z", "2024-06-28T02:04:10Z", "Completed", "c-17"),
+    ("clinical", "Scheduled", "2024-06-29T02:00:00Z", "2024-06-29T02:03:55Z", "Completed", "c-18"),
+    ("clinical", "OnDemand", "2024-06-29T09:30:00Z", "2024-06-29T09:31:00Z", "Failed", "c-19"),
+    ("financial", "Scheduled", "2024-06-28T03:00:00Z", "2024-06-28T03:10:00Z", "Completed", "f-4"),
+    ("financial", "Scheduled", "2024-06-29T03:00:00Z", "2024-06-29T03:09:20Z", "Completed", "f-5"),
 )

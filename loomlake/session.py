@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -34,6 +36,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         wanted = tempfile.mkdtemp(prefix="loomlake-checkpoints-")
+        atexit.register(shutil.rmtree, wanted, ignore_errors=True)
     sc.setCheckpointDir(wanted)
     return sc.getCheckpointDir()
 

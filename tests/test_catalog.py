@@ -144,10 +144,13 @@ def test_measures_on_nulls(spark):
 def test_artifacts(spark):
     a = semantic.artifact_frames(spark)
     match = dict((t, m) for _, t, m in rows(semantic.tile_measures(a["tiles"], a["measures"])))
-    assert {t: m for t, m in match.items() if m} == {"Total Patient Count": "Patient Count", "Total Revenue": "Total Revenue", "Insurance Coverage Rate": "Insurance Coverage Rate"}
+    assert {t: m for t, m in match.items() if m} == {
+        "Patient count, all sites": "Patient Count", "Total revenue to date": "Total Revenue", "Insurance coverage rate by payer": "Insurance Coverage Rate",
+        "Active visits now": "Active Visits", "Avg copay at the desk": "Avg Copay", "Avg patient age by ward": "Avg Patient Age",
+    }
     lone = dict(a, dashboards=a["dashboards"].unionByName(spark.createDataFrame([("db9", "Empty")], "dashboard_id string, dashboard string")), reports=a["reports"].limit(0))
     h = {r["dashboard_id"]: r for r in semantic.hierarchy(lone).collect()}
-    assert h["db9"]["n_tiles"] == 0 and h["db9"]["tiles"] == "" and h["db001"]["reports"] == "Unknown"
+    assert h["db9"]["n_tiles"] == 0 and h["db9"]["tiles"] == "" and h["board-room"]["reports"] == "Unknown"
     with pytest.raises(LookupError):
         semantic.rename_map("nope", {})
     with pytest.raises(ValueError):
