@@ -372,6 +372,41 @@ def test_ham(text):
     assert stuffing.spam_share(text) <= 0.5
 
 
+SENTENCE = "You will love what this little lamp does for your room. "
+PARAGRAPH = " ".join(f"{w} and the {w[::-1]}x of it" for w in "stone river cloud ember field harbor lantern meadow anchor".split()) + ". "
+NOUNS_EN = "stone river cloud ember field harbor lantern meadow anchor bottle candle garden"
+NOUNS_RU = "холодильник телевизор пылесос утюг чайник микроволновка кофеварка блендер тостер миксер духовка вытяжка кондиционер обогреватель вентилятор увлажнитель ионизатор фен бритва весы термометр фонарь батарейка зарядка"
+PROSE_RU = "Я вчера пробовал запустить это на новом сервере, но он не видит таблицу, и я не понимаю, что ещё можно сделать. Если кто-то уже решал такую задачу, то напишите, пожалуйста, как вы это сделали и на что надо смотреть."
+
+
+def test_repeated_sentences_and_paragraphs():
+    """Copies are found whatever function words stand in them, at any lag; two copies, or a template with other words each time, are not."""
+    assert len(PARAGRAPH.split()) > 50
+    assert stuffing.spam_share(SENTENCE * 10) > 0.9 and stuffing.spam_share(PARAGRAPH * 10) > 0.9
+    assert stuffing.spam_share(SENTENCE) == 0 and stuffing.spam_share(PARAGRAPH * 2) == 0
+    period = " ".join(f"word{i}" for i in range(25)) + " of the day it was and then we saw that they had been there before you "  # 40 terms, a third of them function words
+    assert stuffing.spam_share(period * 6) > 0.9 and stuffing.spam_share(period) < 0.8
+    assert stuffing.spam_share(" ".join(SENTENCE.replace("lamp", w).replace("room", w[::-1]).replace("little", w * 2) for w in NOUNS_EN.split())) <= 0.5
+
+
+def test_lists_in_scripts_without_known_function_words():
+    assert len(NOUNS_RU.split()) == 24
+    assert stuffing.spam_share(NOUNS_RU) > 0.5
+    assert stuffing.spam_share(PROSE_RU) <= 0.5
+
+
+def test_texts_counted_together_are_judged_alone():
+    texts = [*SPAM, *HAM, SENTENCE * 10, "", PROSE_RU, NOUNS_RU]
+    assert stuffing.shares(texts) == [stuffing.spam_share(t) for t in texts]
+
+
+def test_long_pages_take_linear_time():
+    start = time.process_time()
+    assert stuffing.spam_share("cheap lamp sale, " * 100_000) > 0.9
+    stuffing.spam_share("".join(f"w{i} " for i in range(200_000)))
+    assert time.process_time() - start < 20
+
+
 def test_larger_part_decides(spark, folder):
     legit = HAM[0] + " "
     docs = [{"doc_id": 1, "text": SPAM[0]}, {"doc_id": 2, "text": legit * 4 + SPAM[0]}, {"doc_id": 3, "text": None}, {"doc_id": 4, "text": SPAM[2] * 40}]
