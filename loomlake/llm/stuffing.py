@@ -49,7 +49,7 @@ SATURATED, SOME_FUNCTION = 0.70, 0.25  # so much recurrence marks terms even wit
 BARE = 12  # so many terms with at most one function word are a list
 DISTINCT = 0.5  # share of a list's terms that are different
 REGULAR = 0.50  # share of a window's terms that equal the term a lag before or after
-VERBATIM, COPIES = 0.90, 3  # sentences with function words: nearly all terms equal, in so many copies or more
+VERBATIM, COPIES = 0.90, 5  # sentences with function words: nearly all terms equal, in so many copies or more; fewer are quotations
 LAG_SHARE = 0.05  # a lag is tried where so many of the page's terms next recur at it; at most 20 lags can be
 PROMOTED = 0.30  # share of a page's terms that is its one phrase
 LESS_PROMOTED, POOR = 0.24, 0.42  # a smaller share is enough where few different words stand around the phrase
@@ -88,6 +88,7 @@ _MARKUP = re.compile(r"</?(?:a|b|br|code|div|em|h[1-6]|i|img|li|ol|p|pre|span|st
 _TERM = re.compile(r"([^\W_][\w$@!€'’-]*[\w$€]|\w|\$\w+)")
 _BREAK = regex.compile(r"[_-]|(?<=^\p{L}{1,2})['’]")  # also after the elided words of French and Italian
 _SPACED = re.compile(r"(?<!\w)\w([*._~+-])\w(?:\1\w){2,}+(?!\w)")
+_SPACED_OUT = re.compile(r"([*._~+-])\w\1\w\1")  # stands in all of these
 _CITED = re.compile(r"\s*(?:\[\w{1,3}\]:?|\(\d{1,3}\)|sources?:|see)\s+\S+\s*(?:\[\d+\])?\s*$", re.IGNORECASE)  # a numbered or named source
 _STOP = re.compile(r"[`\"')]?[.?!。？！](?:\s|$)")
 _ENDER = re.compile(r"\s?[,;|•>·/\]、]|\s[-–—]\s|\s*$")
@@ -179,11 +180,13 @@ GAPS = Gaps()
 _held = [Terms()]
 
 
-def is_structured(line: str, dotted: bool = True) -> bool:
-    """Lines of code, logs, tables and data."""
-    body = _URL.sub("", line) if dotted and _DOTTED.search(line) else line
-    if len(body) < len(line) and (len(body) < 0.6 * len(line) or not body.strip()):
-        return False  # a link, whatever is around it
+def is_structured(line: str, links: list[re.Match]) -> bool:
+    """Lines of code, logs, tables and data; ``links`` are those in the line."""
+    body = line
+    if links:
+        body = "".join(line[a:b] for a, b in zip([0, *(m.end() for m in links)], [*(m.start() for m in links), len(line)]))
+        if len(body) < 0.6 * len(line) or not body.strip():
+            return False  # a link, whatever is around it
     if not _CODED.search(body) and "--" not in body:
         return _CODE_START.match(line) is not None and len(line.split()) <= 2
     if ":" in line and _STAMP.search(line) or ("$" in line or "[" in line or "--" in line) and _SHELL.search(line):
@@ -191,7 +194,8 @@ def is_structured(line: str, dotted: bool = True) -> bool:
     signs, digits = len(_SIGN.findall(body)), len(_DIGIT.findall(body))
     if signs + digits >= 5 and signs + digits >= 0.3 * sum(map(str.isalpha, body)) and not _PRICE.search(body):
         return True
-    names = _IDENTIFIER.findall(body) if "_" in body or "(" in body else []
+    may = body.count("_") + body.count("(")  # as many names at most
+    names = _IDENTIFIER.findall(body) if may and (may >= 2 or signs >= 3 or _CODE_START.match(line)) else []
     if (names or signs >= 2 or len(line.split()) <= 2) and _CODE_START.match(line):
         return True
     if len(names) < 2 and signs < 3:
@@ -222,7 +226,7 @@ class Pages:
             text = unicodedata.normalize("NFKC", text)
         if "<" in text:  # mark-up goes, the links in it stay
             text = _MARKUP.sub(lambda m: " " + " ".join(_URL.findall(m.group())) + " ", text)
-        spaced, dotted = _SPACED.search(text) is not None, _DOTTED.search(text) is not None
+        spaced, dotted = _SPACED_OUT.search(text) is not None, _DOTTED.search(text) is not None
         terms, gaps = self.terms, self.gaps
         for line in text.split("\n"):
             start = line.lstrip()[:1]
@@ -230,13 +234,15 @@ class Pages:
                 continue
             before = len(terms)
             cited = start in "[(sS" and _CITED.match(line) is not None
-            structured = cited or is_structured(line, dotted)
+            links = list(_URL.finditer(line)) if dotted and _DOTTED.search(line) else []
+            structured = cited or is_structured(line, links)
             sentence = not ascii_only and _CJK_STOP.search(line) is not None and _CJK.search(line) is not None
             if spaced:
                 line = _SPACED.sub(lambda m: m.group()[::2], line)
-            if dotted:
+                links = list(_URL.finditer(line)) if links else links
+            if links:
                 at = 0
-                for m in _URL.finditer(line):
+                for m in links:
                     pieces = _TERM.split(line[at : m.start()])
                     terms += pieces[1::2]
                     gaps += pieces[2::2]
