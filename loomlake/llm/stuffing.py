@@ -102,7 +102,10 @@ _CODE_START = re.compile(
 _SHELL = re.compile(r"^\s*\$\s+\S|^\s*\[(?:warn|info|error|debug|fatal)\w*\]|\s--\w[\w-]*(?:[ =]|$)", re.IGNORECASE)
 _IDENTIFIER = re.compile(r"\b[a-z]+(?:_[a-z0-9]+)+\b|\b[a-z]+\.[a-z_]+\(|\b\w+\(")
 _CODED = re.compile(r"[\d()\[\]{}=;\"'`|\t\\&$_]")  # without such a sign only the beginning of a line can make it code
-_SIGN, _DIGIT = re.compile(r"[()\[\]{}=;\"'`|\t\\&]"), re.compile(r"\d")
+_SIGNS, _DIGITS = b"()[]{}=;\"'`|\t\\&", b"0123456789"
+_SIGN, _DIGIT = re.compile("[" + re.escape(_SIGNS.decode()) + "]"), re.compile(r"\d")
+_NO_LETTERS = bytes(i for i in range(128) if not chr(i).isalpha())
+_CLOCK = re.compile(r":\d\d")
 
 WORD, FUNCTION, LINK, STRUCTURED = range(4)
 
@@ -189,10 +192,15 @@ def is_structured(line: str, links: list[re.Match]) -> bool:
             return False  # a link, whatever is around it
     if not _CODED.search(body) and "--" not in body:
         return _CODE_START.match(line) is not None and len(line.split()) <= 2
-    if ":" in line and _STAMP.search(line) or ("$" in line or "[" in line or "--" in line) and _SHELL.search(line):
+    if _CLOCK.search(line) and _STAMP.search(line) or ("$" in line or "[" in line or "--" in line) and _SHELL.search(line):
         return True
-    signs, digits = len(_SIGN.findall(body)), len(_DIGIT.findall(body))
-    if signs + digits >= 5 and signs + digits >= 0.3 * sum(map(str.isalpha, body)) and not _PRICE.search(body):
+    if body.isascii():
+        raw = body.encode()
+        signs, digits = len(raw) - len(raw.translate(None, _SIGNS)), len(raw) - len(raw.translate(None, _DIGITS))
+        letters = len(raw.translate(None, _NO_LETTERS))
+    else:
+        signs, digits, letters = len(_SIGN.findall(body)), len(_DIGIT.findall(body)), sum(map(str.isalpha, body))
+    if signs + digits >= 5 and signs + digits >= 0.3 * letters and not _PRICE.search(body):
         return True
     may = body.count("_") + body.count("(")  # as many names at most
     names = _IDENTIFIER.findall(body) if may and (may >= 2 or signs >= 3 or _CODE_START.match(line)) else []
