@@ -2,11 +2,13 @@
 
 Addresses are read into parts (number, direction, street name, street type,
 unit, town, postal code) in whatever order they stand.  Towns are learnt from
-the data: the spelling that most rows give a postal code.  Candidates come from
-MinHash bands over token and q-gram shingles of the street, where a band's key
-also holds the parts that must be equal; each pair is verified by affine-gap
-token alignment with costs from the abbreviation dictionaries, then by an exact
-check of the parts.
+the data: the spelling that most rows give a postal code.  Equal readings are
+counted first; what is left are the different readings, which meet by number,
+unit and town.  There candidates come from MinHash bands over q-gram shingles of
+the street's name and tokens of name and direction; each candidate pair is
+verified by an affine-gap alignment of the whole addresses' tokens, whose
+substitution costs include the abbreviation dictionaries and the evidence that
+two near names are different streets, and whose gaps are parts left out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.llm.edits import osa
-from loomlake.llm.graph import components
+from loomlake.llm.memory import remembered
 from loomlake.session import durable
 
 _POSTAL = regex.compile(r"(?<!\d)\d{6}(?!\d)")
@@ -31,14 +33,15 @@ _POSTAL_ANYWHERE = regex.compile(r"(?<!\d)\d{3}[-\s]\d{3}(?!\d)")
 _NO_DIGIT = regex.compile(r"\D")
 
 LONG = 500  # town words of more characters are compared by three of their pieces
-MANY = 20  # equal town words from which the rest of an address can't cost ALIGNED a word
-BANDS = 16  # one row each: within equal number, unit and town even half-equal names meet
+BANDS, ROWS = 56, 2  # of two MinHash values each: of pairs with three shingles in ten in common 99.5 % meet
 NAME_EDITS = 2
-ALIGNED = 0.34  # alignment cost per token
-GAP_OPEN, GAP_EXTEND = 0.5, 0.25
-RARE = 0.15  # a misspelling has at most this share of the rows of the name it stands for
-COMMON = 0.34  # at one edit, twice as sure a sign, at most this share
-SURE = 4  # rows from which a name is no chance misspelling
+ALIGNED = 1.0  # a costlier alignment is none
+GAP_OPEN, GAP_EXTEND = 0.6, 0.3  # a part left out; two names that are both left out cost more than ALIGNED
+OTHER = 2.0  # two different numbers, units, directions or types; two names that are streets of their own
+EDIT = 0.15  # of a name or town word
+RARE = 0.15  # a misspelling has less than this share of the rows of the commonest name near it
+COMMON = 0.34  # at one edit, twice as sure a sign, less than this share
+HOUSE_STYLE = 0.15  # share of the rows of one type, with or without a unit, that are written in one way
 
 # Street types, directions, town prefixes and unit words with their abbreviations.
 TYPES = {
@@ -194,32 +197,43 @@ def grams(word: str) -> set[str]:
     return {padded[i : i + 2] for i in range(len(padded) - 1)} | {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
-_MUL = np.array([[(0x9E3779B1 * (2 * b + 1)) & 0xFFFFFFFF | 1] for b in range(BANDS)], np.uint64)
-_ADD = np.array([[(0x85EBCA6B * (b + 1)) & 0xFFFFFFFF] for b in range(BANDS)], np.uint64)
-_MASK, _BAND = np.uint64(0xFFFFFFFF), np.arange(BANDS, dtype=np.uint64)
+_MUL = np.array([[(0x9E3779B1 * (2 * b + 1)) & 0xFFFFFFFF | 1] for b in range(BANDS * ROWS)], np.uint64)
+_ADD = np.array([[(0x85EBCA6B * (b + 1)) & 0xFFFFFFFF] for b in range(BANDS * ROWS)], np.uint64)
+_MASK = np.uint64(0xFFFFFFFF)
 
 
-def band_keys(direction: str, name: str) -> list[int]:
-    """MinHash of the shingles (the street's q-grams, its name and direction as tokens), one value per band."""
-    s = np.array([zlib.crc32(x.encode()) for x in sorted(grams(name) | {f"={name}"})], np.uint64)
-    least = (((s * _MUL + _ADD) & _MASK) ^ (s >> np.uint64(7))).min(axis=1)
-    return ((least << np.uint64(5)) | _BAND).astype(np.int64).tolist()
+@remembered(50_000)
+def _least(shingles: str) -> np.ndarray:
+    s = np.array([zlib.crc32(x.encode()) for x in shingles.split("\0")], np.uint64)
+    return (((s * _MUL + _ADD) & _MASK) ^ (s >> np.uint64(7))).min(axis=1)
+
+
+def band_keys(direction: str, name: str) -> list[tuple[int, int, int]]:
+    """MinHash of the shingles (the name's q-grams, name and direction as tokens), ROWS values per band."""
+    least = np.minimum(_least("\0".join(sorted(grams(name) | {f"={name}"}))), _least(f">{direction}")).reshape(BANDS, ROWS).tolist()
+    return [(b, x, y) for b, (x, y) in enumerate(least)]
 
 
 def token_cost(a: str, b: str) -> float:
-    """0 for equal words and abbreviations of each other, else a cost that grows with the edits."""
+    """0 for equal words and abbreviations of each other, OTHER for two numbers, types or directions, else a cost that grows with the edits."""
     if a == b:
         return 0.0
     for table in (_TYPE, _DIRECTION, _PREFIX):
-        if a in table and table.get(a) == table.get(b):
-            return 0.0
+        if a in table and b in table:
+            return 0.0 if table[a] == table[b] else OTHER
     if a[0].isdigit() or b[0].isdigit():
-        return 2.0
-    d = osa(a, b, 4)
-    return min(1.5, 2.5 * d / max(len(a), len(b)))
+        return OTHER
+    most = NAME_EDITS if min(len(a), len(b)) > 4 else 1
+    return min(OTHER, EDIT * osa(a, b, most)) if osa(a, b, most) <= most else OTHER
+
 
+def own_streets(a: Reading, b: Reading, edits: int) -> bool:
+    """Whether two near names are different streets: both also stand at other houses, and in rows compare with the commonest name near them."""
+    least = COMMON if edits == 1 else RARE
+    return all(x.elsewhere and x.name_rows >= least * max(x.near_rows, y.name_rows) for x, y in ((a, b), (b, a)))
 
-def aligned_cost(a: list[str], b: list[str]) -> float:
+
+def aligned_cost(a: list[str], b: list[str], cost=token_cost) -> float:
     """Least cost of a token alignment with affine gaps, per token of the longer address."""
     big = 1e9
     n, m = len(a), len(b)
@@ -236,31 +250,75 @@ def aligned_cost(a: list[str], b: list[str]) -> float:
             if i and j:
                 before = min(match[i - 1][j - 1], gap_a[i - 1][j - 1], gap_b[i - 1][j - 1])
                 if before < big:
-                    match[i][j] = before + token_cost(a[i - 1], b[j - 1])
+                    match[i][j] = before + cost(a[i - 1], b[j - 1])
     return min(match[n][m], gap_a[n][m], gap_b[n][m]) / max(n, m, 1)
 
 
-READ = "address string, number string, direction string, name string, kind string, unit string, town_words string, postal string"
+class Reading:
+    """One way in which addresses of a block (number, unit, town) are read, with what is known of its street's name."""
+
+    __slots__ = ("direction", "name", "kind", "rows", "usual", "name_rows", "near_rows", "elsewhere", "form")
+
+    def __init__(self, direction: str, name: str, kind: str, rows: int = 1, usual: bool = False, name_rows: int = 1, near_rows: int = 1, elsewhere: bool = False, form: int = 0) -> None:
+        self.direction, self.name, self.kind, self.rows, self.usual, self.name_rows, self.near_rows, self.elsewhere, self.form = direction, name, kind, rows, usual, name_rows, near_rows, elsewhere, form
+
+    def tokens(self) -> list[str]:
+        return [w for w in (self.direction, self.name) if w]
+
+
+def alignment(a: Reading, b: Reading) -> float:
+    """Cost between two readings of one block; number, unit and town are equal there and align at no cost, and types are told apart afterwards."""
+    if a.direction and b.direction and a.direction != b.direction:
+        return OTHER  # before the names are compared: both would have to be left out
+
+    def cost(x: str, y: str) -> float:
+        c = token_cost(x, y)
+        if 0 < c < OTHER and {x, y} == {a.name, b.name} and own_streets(a, b, osa(x, y, NAME_EDITS)):
+            return OTHER
+        return c
+
+    x, y = a.tokens(), b.tokens()
+    return aligned_cost(x, y, cost) * max(len(x), len(y))
+
+
+_STYLE = regex.compile(r"\d+|\p{L}+")
+
+
+@remembered(100_000)
+def _styled(word: str) -> str:
+    if word[0].isdigit():
+        return "9"
+    if (w := word.casefold()) in _TYPE or w in _DIRECTION or w in _PREFIX and w not in PREFIXES or w in UNITS:
+        return word
+    return "A" if word.isupper() else "a" if word.islower() else "Aa"
+
+
+def style(text: str) -> str:
+    """How an address is written: its signs, its letter case and the spelling of its dictionary words, without its names and numbers."""
+    return _STYLE.sub(lambda m: _styled(m.group()), text) if len(text) <= 200 else ""
+
 
+PARTS = ("number", "direction", "name", "kind", "unit", "town_words", "postal", "style")
 
-def parsed(texts: DataFrame) -> DataFrame:
-    """Parts of each distinct address; texts that name no place are left out."""
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """(patient_id, parts) of each row; texts that name no place are left out."""
+    names = ["patient_id", *PARTS]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in READ.split(", ")]
+        memory = remembered(50_000)(read)
         for b in batches:
-            rows = [(t, *r) for t in b.column(0).to_pylist() if (r := read(t)) is not None]
+            rows = [(i, *r, style(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (r := memory(t)) is not None]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=names)
 
-    return texts.select("address").where(F.col("address").isNotNull()).distinct().mapInArrow(work, READ)
+    return rows.select("patient_id", "address").where("patient_id is not null and address is not null").mapInArrow(work, ", ".join(f"{n} string" for n in names))
 
 
-def known_towns(forms: DataFrame) -> DataFrame:
-    """(postal, town): the spelling most distinct addresses give a postal code; ties go to the first by letters."""
-    seen = forms.where("postal <> '' and town_words <> ''").groupBy("postal", "town_words").agg(F.count("*").alias("n"))
+def known_towns(seen: DataFrame) -> DataFrame:
+    """(postal, town): the spelling most addresses give a postal code; ties go to the first by letters."""
     best = F.row_number().over(Window.partitionBy("postal").orderBy(F.desc("n"), "town_words"))
-    return seen.withColumn("_r", best).where("_r = 1").select("postal", F.col("town_words").alias("town"))
+    return seen.where("postal <> '' and town_words <> ''").withColumn("_r", best).where("_r = 1").select("postal", F.col("town_words").alias("town"))
 
 
 def _cuts(c: str) -> F.Column:
@@ -274,90 +332,156 @@ def _pieces(c: str, shift: int) -> F.Column:
     return F.array_distinct(F.array(F.xxhash64(F.lit("b"), F.substring(c, 1, 150)), F.xxhash64(F.lit("e"), F.substring(c, -150, 150)), *middle))
 
 
-def with_town(forms: DataFrame) -> DataFrame:
-    """Add ``town``: by postal code, else by the town's words, exact or misspelt (forms with one letter less meet in a join)."""
-    towns = durable(known_towns(forms))
+def town_keys(seen: DataFrame) -> DataFrame:
+    """(key, town) for postal codes (key p...) and for misspelt towns without one (key t...): forms with one letter less meet in a join."""
+    towns = known_towns(seen)
     names = towns.select("town").distinct()
-    coded = forms.where("postal <> ''").join(towns, "postal", "left").withColumn("town", F.coalesce("town", F.when(F.col("town_words") != "", F.col("town_words")), "postal"))
-    bare = forms.where("postal = ''")
-    exact = bare.join(names, bare["town_words"] == names["town"], "left")
-    hit, miss = exact.where("town is not null"), exact.where("town is null").drop("town")
-    lost = miss.select("town_words").distinct()
+    lost = seen.where("postal = ''").select("town_words").distinct().join(names, F.col("town_words") == F.col("town"), "left_anti")
     meet = lost.where(F.length("town_words") <= LONG).withColumn("k", F.explode(_cuts("town_words"))).join(names.where(F.length("town") <= LONG + 1).withColumn("k", F.explode(_cuts("town"))), "k")
     # longer ones: two letters cut, one on either side, leave the beginning, the end or, moved by one, the middle
     long = lost.where(F.length("town_words") > LONG).withColumn("k", F.explode(_pieces("town_words", 0)))
     far = long.join(names.where(F.length("town") >= LONG).withColumn("k", F.explode(_pieces("town", 1))), "k")
-    near = meet.unionByName(far).select("town_words", "town").distinct().withColumn("d", F.levenshtein("town_words", "town", 2)).where("d >= 0")
-    best = near.groupBy("town_words").agg(F.min(F.struct("d", "town")).alias("b")).where("b.d <= 2").select("town_words", F.col("b.town").alias("town"))
-    fixed = miss.join(best, "town_words", "left").withColumn("town", F.coalesce("town", "town_words"))
-    columns = [*forms.columns, "town"]
-    return coded.select(columns).unionByName(hit.select(columns)).unionByName(fixed.select(columns))
+    near = meet.select("town_words", "town").unionByName(far.select("town_words", "town")).withColumn("d", F.levenshtein("town_words", "town", 2)).where("d >= 0")
+    best = near.groupBy("town_words").agg(F.min(F.struct("d", "town")).alias("b"))
+    return towns.select(F.concat(F.lit("p"), "postal").alias("key"), "town").unionByName(best.select(F.concat(F.lit("t"), "town_words").alias("key"), "b.town"))
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = [band_keys(d, n) for d, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(keys, pa.list_(pa.int64()))], names=["form", "block", "bands"])
+def with_town(forms: DataFrame) -> DataFrame:
+    """Add ``town``: by postal code, else by the town's words, exact or misspelt."""
+    seen = durable(forms.groupBy("postal", "town_words").agg(F.count("*").alias("n")))
+    key = F.when(F.col("postal") != "", F.concat(F.lit("p"), "postal")).otherwise(F.concat(F.lit("t"), "town_words"))
+    own = F.when(F.col("postal") != "", F.col("postal")).otherwise(F.col("town_words"))
+    return forms.withColumn("key", key).join(town_keys(seen), "key", "left").withColumn("town", F.coalesce("town", own)).drop("key")
+
+
+def known_names(nodes: DataFrame) -> DataFrame:
+    """(name, name_rows, near_rows, elsewhere): rows of a street name, rows of the commonest name with a form in common that lacks a letter, and whether it stands at several houses."""
+    house = F.xxhash64("number", "town")
+    names = nodes.groupBy("name").agg(F.sum("rows").alias("name_rows"), (F.min(house) != F.max(house)).alias("elsewhere"))
+    keyed = names.select("*", F.explode(F.when(F.length("name") <= LONG, _cuts("name")).otherwise(F.array("name"))).alias("k"))
+    top = keyed.withColumn("top", F.max("name_rows").over(Window.partitionBy("k")))
+    return top.groupBy("name").agg(F.max("name_rows").alias("name_rows"), F.max("top").alias("near_rows"), F.max("elsewhere").alias("elsewhere"))
+
+
+def usual_styles(forms: DataFrame) -> DataFrame:
+    """(style, usual) of addresses without a direction: the ways in which a good part of the addresses of one type is written."""
+    seen = forms.where("direction = ''").groupBy("kind", (F.col("unit") != "").alias("flat"), "style").agg(F.count("*").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("kind", "flat"))
+    return seen.where("kind <> ''").withColumn("whole", whole).where(F.col("n") >= HOUSE_STYLE * F.col("whole")).select("style", F.lit(True).alias("usual")).distinct()
+
 
+class Sets:
+    """Disjoint sets by their least members' roots."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+
+
+def candidates(block: list[Reading]) -> set[tuple[int, int]]:
+    """Pairs of readings that share a band."""
+    buckets: dict[tuple[int, int, int], list[int]] = {}
+    for i, r in enumerate(block):
+        for k in band_keys(r.direction, r.name):
+            buckets.setdefault(k, []).append(i)
+    return {(x, y) for at in buckets.values() if len(at) > 1 for n, x in enumerate(at) for y in at[n + 1 :]}
+
+
+def told_apart(block: list[Reading]) -> list[tuple[int, int, str]]:
+    """(form, street, type) for the readings of one block; the street is numbered by its first reading.
+
+    Readings with one direction, or none, are one street where they align.  One
+    that leaves out the direction, stands in a single row and is not written in the
+    usual style belongs to the one street with a direction that it aligns with; else
+    it is a street of its own.  One that leaves out the type belongs to the one type
+    of its street; where there are several, it stays alone.
+    """
+    block = sorted(block, key=lambda r: (r.name, r.direction, r.kind))
+    each: dict[tuple[str, str], list[Reading]] = {}
+    for r in block:
+        each.setdefault((r.direction, r.name), []).append(r)
+    heads = [rs[0] for rs in each.values()]
+    sets = Sets(len(heads))
+    left_out: dict[int, set[int]] = {}
+    for i, j in candidates(heads) if len(heads) > 1 else ():
+        if alignment(heads[i], heads[j]) <= ALIGNED:
+            if heads[i].direction == heads[j].direction:
+                sets.join(i, j)
+            else:
+                bare, full = (i, j) if not heads[i].direction else (j, i)
+                left_out.setdefault(bare, set()).add(full)
+    members: dict[int, list[int]] = {}
+    for i in range(len(heads)):
+        members.setdefault(sets.root(i), []).append(i)
+    groups = list(each.values())
+    street = {i: sets.root(i) for i in range(len(heads))}
+    for root, inside in members.items():
+        if heads[root].direction:
+            continue
+        of = [r for i in inside for r in groups[i]]
+        full = {sets.root(j) for i in inside for j in left_out.get(i, ())}
+        if len(full) == 1 and len(of) == 1 and of[0].rows == 1 and not of[0].usual:
+            for i in inside:
+                street[i] = next(iter(full))
+    kinds: dict[int, set[str]] = {}
+    for i, rs in enumerate(groups):
+        kinds.setdefault(street[i], set()).update(r.kind for r in rs if r.kind)
+    out = []
+    for i, rs in enumerate(groups):
+        known = kinds[street[i]]
+        out += [(r.form, street[i], r.kind or ("" if not known else next(iter(known)) if len(known) == 1 else "?")) for r in rs]
+    return out
+
+
+_NODE = ("block", "direction", "name", "kind", "rows", "usual", "name_rows", "near_rows", "elsewhere", "form")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(form, block, street, type), block by block; the rows come sorted by block."""
+    now, block, out = None, [], []
+
+    def done() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["form", "block", "street", "kind"])
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = b.to_pylist()
-        keep = []
-        for r in rows:
-            x, y = r["a_name"], r["b_name"]
-            ok = x == y
-            if not ok:
-                most = NAME_EDITS if min(len(x), len(y)) > 4 else 1
-                low, high = sorted((r["a_rows"], r["b_rows"]))
-                d = osa(x, y, most)
-                ok = d <= most and (low < SURE or low <= RARE * high or d == 1 and (low < 2 * SURE or low <= COMMON * high))
-            if ok and r["a_town"].count(" ") < MANY:
-                both = [[w for w in (r[f"{s}_number"], r[f"{s}_direction"], r[f"{s}_name"], r[f"{s}_kind"], r[f"{s}_unit"], *r[f"{s}_town"].split()) if w] for s in "ab"]
-                ok = aligned_cost(*both) <= ALIGNED
-            keep.append(ok)
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).filter(mask) for c in ("a", "b")], names=["a", "b"])
+        for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in _NODE), strict=True):
+            if row[0] != now:
+                out += [(f, now, s, k) for f, s, k in told_apart(block)]
+                now, block = row[0], []
+            block.append(Reading(*row[1:]))
+        yield done()
+        out = []
+    out = [(f, now, s, k) for f, s, k in told_apart(block)]
+    yield done()
 
 
 def places(patients: DataFrame) -> DataFrame:
     """(patient_id, place): records whose address names a place, with the class of the place.
 
     Addresses that are null, blank, a post box, or without number, street, or
-    town and postal code, are in no class.  An address without a street type
-    belongs to the one type that the street has there; where it has several, it
-    stays alone.
+    town and postal code, are in no class.  What is sent to one task together are
+    the different readings of the streets of one house number, unit and town,
+    never the rows.
     """
-    rows = patients.where(F.col("patient_id").isNotNull()).select("patient_id", "address").distinct()
-    forms = durable(parsed(rows))
-    part = ["number", "unit", "town", "direction", "name", "kind"]
-    told = durable(with_town(forms).withColumn("form", F.xxhash64(*part)))
-    each = told.groupBy("form", *part).agg(F.count("*").alias("rows"))
-    per_name = each.groupBy("name").agg(F.sum("rows").alias("name_rows"))
-    each = durable(each.join(per_name, "name"))
-    # one node per (number, unit, town, direction, name): types are told apart later
-    node = ["number", "unit", "town", "direction", "name"]
-    nodes = each.withColumn("node", F.xxhash64(*node))
-    lone = nodes.groupBy("node", *node, "name_rows").agg(F.max("kind").alias("kind"))
-    block = F.xxhash64("number", "unit", "town", "direction")
-    # a node alone in its block has no candidate: only the others are banded
-    crowded = lone.groupBy(block.alias("block")).agg(F.count("*").alias("n")).where("n > 1").select("block")
-    few = durable(lone.withColumn("block", block).join(crowded, "block", "left_semi"))
-    bands = few.select(F.col("node").alias("form"), "direction", "name", "block").mapInArrow(_banded, "form long, block long, bands array<long>")
-    keyed = bands.select("form", F.explode("bands").alias("band"), "block").select(F.xxhash64("block", "band").alias("k"), "form")
-    meet = keyed.select("k", F.col("form").alias("a")).join(keyed.select("k", F.col("form").alias("b")), "k").where("a < b").select("a", "b").distinct()
-    side = lambda s: few.select(F.col("node").alias(s), F.col("name_rows").alias(f"{s}_rows"), *[F.col(c).alias(f"{s}_{c}") for c in ("number", "unit", "town", "direction", "name", "kind")])
-    pairs = meet.join(side("a"), "a").join(side("b"), "b").where("a_number = b_number and a_unit = b_unit and a_town = b_town and a_direction = b_direction")
-    edges = pairs.mapInArrow(_verified, "a long, b long")
-    found = components(edges)
-    labelled = nodes.join(found, "node", "left").withColumn("street", F.coalesce("component", "node"))
-    kinds = labelled.where("kind <> ''").groupBy("street").agg(F.min("kind").alias("k1"), F.max("kind").alias("k2"))
-    typed = labelled.join(kinds, "street", "left").withColumn(
-        "kind2", F.when(F.col("kind") != "", F.col("kind")).when(F.col("k1").isNull(), "").when(F.col("k1") == F.col("k2"), F.col("k1")).otherwise("?")
-    )
-    of_form = typed.select("form", F.xxhash64("street", "kind2").alias("place"))
-    of_text = told.select("address", "form").join(of_form, "form").select("address", "place")
-    return rows.join(of_text, "address").select("patient_id", "place").distinct()
+    forms = durable(parsed(patients.select("patient_id", "address")))
+    told = durable(with_town(forms).withColumn("block", F.xxhash64("number", "unit", "town")).withColumn("form", F.xxhash64("block", "direction", "name", "kind")))
+    nodes = told.groupBy("form", "block", "number", "town", "direction", "name", "kind").agg(F.count_distinct("patient_id").alias("rows"), F.min("style").alias("style"))
+    nodes = durable(nodes.join(usual_styles(forms), "style", "left").withColumn("usual", F.coalesce("usual", F.lit(False))))
+    known = nodes.join(known_names(nodes), "name").select(*_NODE)
+    at = known.repartition("block").sortWithinPartitions("block").mapInArrow(_places, "form long, block long, street long, kind string")
+    of_form = at.select("form", F.xxhash64("block", "street", "kind").alias("place"))
+    return told.select("patient_id", "form").join(of_form, "form").select("patient_id", "place").distinct()
 
 
 def same_place_pairs(patients: DataFrame) -> DataFrame:

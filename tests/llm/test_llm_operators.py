@@ -313,6 +313,47 @@ def test_alignment_costs():
     assert addresses.aligned_cost(["12"], ["13"]) > 0.5 and addresses.aligned_cost([], []) == 0.0
 
 
+def test_direction_left_out_once(spark, folder):
+    """A single free-typed record without the direction joins the one street that has it; one written as the others are, or two, or with two streets to choose from, do not."""
+    usual = [f"{n} Oak St, Weston 123456" for n in range(100, 112)]
+    a = [*usual, "7 N Elm St, Weston 123456", "ELM STREET 7; WESTON", "8 N Elm St, Weston 123456", "8 Elm St, Weston 123456", "9 N Elm St, Weston 123456", "9 S Elm St, Weston 123456", "9, elm street. weston"]
+    got = rows(Q.p6_found(spark, folder(patients=[{"patient_id": f"P{i:02d}", "address": x} for i, x in enumerate(a)])))
+    assert got == [("P12", "P13")]
+
+
+def test_candidates_of_a_house_are_found():
+    """Bands against brute force: of pairs of one block that align, nearly all share a band; what does not align is no street."""
+    rng = random.Random(5)
+    streets = [a + b for a in ("alder", "umber", "kestrel", "vetch", "granite", "plum") for b in ("bank", "croft", "holt", "mere", "stone")]
+    met = all_ = 0
+    for _ in range(40):
+        block = []
+        for s in rng.sample(streets, 6):
+            for _ in range(3):
+                t = list(s)
+                for _ in range(rng.choice((0, 1, 1, 2))):
+                    k = rng.randrange(len(t))
+                    t[k] = rng.choice(string.ascii_lowercase)
+                block.append(addresses.Reading(rng.choice(("", "", "n")), "".join(t), "street"))
+        found = addresses.candidates(block)
+        for i, j in itertools.combinations(range(len(block)), 2):
+            if addresses.alignment(block[i], block[j]) <= addresses.ALIGNED:
+                all_ += 1
+                met += (i, j) in found
+    assert all_ > 300 and met >= 0.98 * all_
+
+
+def test_near_names_that_are_streets_of_their_own():
+    """Only shares decide: the same two names are judged alike in a table of any size."""
+    for k in (1, 1000):
+        own = lambda name, rows, near: addresses.Reading("", name, "street", 1, False, rows * k, near * k, True)
+        assert addresses.alignment(own("umberford", 90, 90), own("umberfold", 80, 90)) > addresses.ALIGNED
+        assert addresses.alignment(own("umberford", 90, 90), own("umberfird", 3, 90)) <= addresses.ALIGNED
+        assert addresses.alignment(own("umbrrford", 4, 90), own("umberfird", 3, 90)) <= addresses.ALIGNED
+    once = addresses.Reading("", "umberfold", "street")
+    assert addresses.alignment(own("umberford", 1, 1), once) <= addresses.ALIGNED
+
+
 def test_long_addresses_are_read(spark, folder):
     note = ", please leave the parcel with the porter behind the blue door" * 20
     town = "Weston by the sea" + " where the ferry lands" * 30
