@@ -70,6 +70,8 @@ _WORD = regex.compile(r"[0-9]+[a-z]?|[\p{L}][\p{L}'’0-9]*")
 
 
 def folded(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFKD", text).casefold()
     return "".join(ch for ch in t if not unicodedata.combining(ch)).replace("ø", "o").replace("ß", "ss")
 
@@ -78,11 +80,17 @@ def near_key(word: str, table: dict[str, str], least: int = 4) -> str | None:
     """The dictionary's entry for a word, exact or, for longer words, one edit away."""
     if word in table:
         return table[word]
-    if len(word) >= least:
-        for k, v in table.items():
-            if len(k) >= least and osa(word, k, 1) <= 1:
-                return v
-    return None
+    return _NEARS[id(table)](word) if len(word) >= least else None
+
+
+def _nears(table: dict[str, str], least: int):
+    def near(word: str) -> str | None:
+        return next((v for k, v in table.items() if len(k) >= least and osa(word, k, 1) <= 1), None)
+
+    return remembered(50_000)(near)
+
+
+_NEARS = {id(t): _nears(t, least) for t, least in ((_TYPE, 5), (_DIRECTION, 4), (_PREFIX, 4))}
 
 
 def _two_blanks(m: regex.Match) -> str:
@@ -257,10 +265,11 @@ def aligned_cost(a: list[str], b: list[str], cost=token_cost) -> float:
 class Reading:
     """One way in which addresses of a block (number, unit, town) are read, with what is known of its street's name."""
 
-    __slots__ = ("direction", "name", "kind", "rows", "usual", "name_rows", "near_rows", "elsewhere", "form")
+    __slots__ = ("direction", "name", "kind", "alone", "usual", "name_rows", "near_rows", "elsewhere", "form")
 
-    def __init__(self, direction: str, name: str, kind: str, rows: int = 1, usual: bool = False, name_rows: int = 1, near_rows: int = 1, elsewhere: bool = False, form: int = 0) -> None:
-        self.direction, self.name, self.kind, self.rows, self.usual, self.name_rows, self.near_rows, self.elsewhere, self.form = direction, name, kind, rows, usual, name_rows, near_rows, elsewhere, form
+    def __init__(self, direction: str, name: str, kind: str, alone: bool = True, usual: bool = False, name_rows: int = 1, near_rows: int = 1, elsewhere: bool = False, form: int = 0) -> None:
+        self.direction, self.name, self.kind, self.alone, self.usual = direction, name, kind, alone, usual
+        self.name_rows, self.near_rows, self.elsewhere, self.form = name_rows, near_rows, elsewhere, form
 
     def tokens(self) -> list[str]:
         return [w for w in (self.direction, self.name) if w]
@@ -304,15 +313,16 @@ PARTS = ("number", "direction", "name", "kind", "unit", "town_words", "postal",
 def parsed(rows: DataFrame) -> DataFrame:
     """(patient_id, parts) of each row; texts that name no place are left out."""
     names = ["patient_id", *PARTS]
+    kinds = ", ".join(f"{n} {'long' if n == 'style' else 'string'}" for n in names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = remembered(50_000)(read)
         for b in batches:
-            rows = [(i, *r, style(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (r := memory(t)) is not None]
+            rows = [(i, *r, zlib.crc32(style(t).encode())) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (r := memory(t)) is not None]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if n == "style" else pa.string()) for n, c in zip(names, cols, strict=True)], names=names)
 
-    return rows.select("patient_id", "address").where("patient_id is not null and address is not null").mapInArrow(work, ", ".join(f"{n} string" for n in names))
+    return rows.select("patient_id", "address").where("patient_id is not null and address is not null").mapInArrow(work, kinds)
 
 
 def known_towns(seen: DataFrame) -> DataFrame:
@@ -401,11 +411,13 @@ def told_apart(block: list[Reading]) -> list[tuple[int, int, str]]:
     """(form, street, type) for the readings of one block; the street is numbered by its first reading.
 
     Readings with one direction, or none, are one street where they align.  One
-    that leaves out the direction, stands in a single row and is not written in the
+    that leaves out the direction, is of a single patient and is not written in the
     usual style belongs to the one street with a direction that it aligns with; else
     it is a street of its own.  One that leaves out the type belongs to the one type
     of its street; where there are several, it stays alone.
     """
+    if len(block) == 1:
+        return [(block[0].form, 0, block[0].kind)]
     block = sorted(block, key=lambda r: (r.name, r.direction, r.kind))
     each: dict[tuple[str, str], list[Reading]] = {}
     for r in block:
@@ -430,7 +442,7 @@ def told_apart(block: list[Reading]) -> list[tuple[int, int, str]]:
             continue
         of = [r for i in inside for r in groups[i]]
         full = {sets.root(j) for i in inside for j in left_out.get(i, ())}
-        if len(full) == 1 and len(of) == 1 and of[0].rows == 1 and not of[0].usual:
+        if len(full) == 1 and len(of) == 1 and of[0].alone and not of[0].usual:
             for i in inside:
                 street[i] = next(iter(full))
     kinds: dict[int, set[str]] = {}
@@ -443,7 +455,7 @@ def told_apart(block: list[Reading]) -> list[tuple[int, int, str]]:
     return out
 
 
-_NODE = ("block", "direction", "name", "kind", "rows", "usual", "name_rows", "near_rows", "elsewhere", "form")
+_NODE = ("block", "direction", "name", "kind", "alone", "usual", "name_rows", "near_rows", "elsewhere", "form")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,8 +488,10 @@ def places(patients: DataFrame) -> DataFrame:
     """
     forms = durable(parsed(patients.select("patient_id", "address")))
     told = durable(with_town(forms).withColumn("block", F.xxhash64("number", "unit", "town")).withColumn("form", F.xxhash64("block", "direction", "name", "kind")))
-    nodes = told.groupBy("form", "block", "number", "town", "direction", "name", "kind").agg(F.count_distinct("patient_id").alias("rows"), F.min("style").alias("style"))
-    nodes = durable(nodes.join(usual_styles(forms), "style", "left").withColumn("usual", F.coalesce("usual", F.lit(False))))
+    nodes = told.groupBy("form", "block", "number", "town", "direction", "name", "kind").agg(
+        F.count("*").alias("rows"), F.min("style").alias("style"), (F.min(F.xxhash64("patient_id")) == F.max(F.xxhash64("patient_id"))).alias("alone")
+    )
+    nodes = durable(nodes.join(usual_styles(told), "style", "left").withColumn("usual", F.coalesce("usual", F.lit(False))))
     known = nodes.join(known_names(nodes), "name").select(*_NODE)
     at = known.repartition("block").sortWithinPartitions("block").mapInArrow(_places, "form long, block long, street long, kind string")
     of_form = at.select("form", F.xxhash64("block", "street", "kind").alias("place"))

@@ -346,7 +346,7 @@ def test_candidates_of_a_house_are_found():
 def test_near_names_that_are_streets_of_their_own():
     """Only shares decide: the same two names are judged alike in a table of any size."""
     for k in (1, 1000):
-        own = lambda name, rows, near: addresses.Reading("", name, "street", 1, False, rows * k, near * k, True)
+        own = lambda name, rows, near: addresses.Reading("", name, "street", True, False, rows * k, near * k, True)
         assert addresses.alignment(own("umberford", 90, 90), own("umberfold", 80, 90)) > addresses.ALIGNED
         assert addresses.alignment(own("umberford", 90, 90), own("umberfird", 3, 90)) <= addresses.ALIGNED
         assert addresses.alignment(own("umbrrford", 4, 90), own("umberfird", 3, 90)) <= addresses.ALIGNED
