@@ -1,62 +1,59 @@
 """Exact radius joins of names by metric-space partitioning.
 
-Names meet only inside a block (a clinic, a date of birth, ...).  A block with
-many names is cut into cells: every name belongs to the cell of its nearest
-pivot, and is replicated to each pivot p with d(x, p) <= d(x, nearest) + 2r.  By
-the triangle inequality, of two names within radius r the one's home cell then
-holds the other.  Inside a cell the Levenshtein distance, a true metric, is
-computed for each home name against each name there.  Small blocks are one cell.
+Names meet only inside a block (a clinic, a date of birth, ...).  A block of n
+different names has ceil(sqrt(n) / 4) pivots: every name belongs to the cell of
+its nearest pivot, and is replicated to each pivot p with
+d(x, p) <= d(x, nearest) + 2r.  By the triangle inequality, of two names within
+radius r the one's home cell then holds the other.  Inside a cell the Levenshtein
+distance, a true metric, is computed for each home name against each name there.
+A block has about n sqrt(n) / 4 distances to pivots, and one rule at every size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELL_NAMES = 512  # a block of more distinct names gets one pivot per so many
-MOST_BROADCAST = 50_000  # pivots; beyond it they are joined by a shuffle
+
+def pivot_count(n: Column) -> Column:
+    return F.ceil(F.sqrt(n) / 4)
 
 
 def cells(names: DataFrame, radius: int) -> DataFrame:
     """(block, name, cell, home): each distinct (block, name) in its home cell, and in those it is replicated to."""
     each = names.select("block", "name").where(F.col("block").isNotNull() & F.col("name").isNotNull()).distinct()
-    big = each.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > CELL_NAMES)
-    pivots = (
-        each.join(big, "block")
-        .where(F.pmod(F.xxhash64("name"), F.col("n")) < F.ceil(F.col("n") / CELL_NAMES))
-        .select("block", F.col("name").alias("pivot"))
-    )
-    n = pivots.limit(MOST_BROADCAST + 1).count()
-    if n == 0:
-        return each.select("block", "name", F.lit("").alias("cell"), F.lit(True).alias("home"))
-    if n <= MOST_BROADCAST:
-        pivots = F.broadcast(pivots)
-    far = each.join(pivots, "block", "left").groupBy("block", "name").agg(
-        F.collect_list(F.when(F.col("pivot").isNotNull(), F.struct(F.levenshtein("name", "pivot").alias("d"), F.col("pivot").alias("p")))).alias("ps")
-    )  # as many entries as the block has pivots
+    several = each.groupBy("block").agg(F.count("*").alias("n")).where(pivot_count(F.col("n")) > 1)
+    pivots = each.join(several, "block").where(F.pmod(F.xxhash64("name"), F.col("n")) < pivot_count(F.col("n"))).select("block", F.col("name").alias("pivot"))
+    held = pivots.groupBy("block").agg(F.collect_set("pivot").alias("pivots"))  # about sqrt(n) / 4 of a block's n names
+    away = F.transform("pivots", lambda p: F.struct(F.levenshtein(F.col("name"), p).alias("d"), p.alias("p")))
+    far = each.join(held, "block", "left").withColumn("ps", away)
     nearest = F.array_min("ps")
-    placed = far.select(
-        "block",
-        "name",
-        F.explode_outer(F.filter("ps", lambda x: x["d"] <= nearest["d"] + 2 * radius)).alias("x"),
-        nearest["p"].alias("own"),
-    )
+    placed = far.select("block", "name", F.explode_outer(F.filter("ps", lambda x: x["d"] <= nearest["d"] + 2 * radius)).alias("x"), nearest["p"].alias("own"))
     return placed.select("block", "name", F.coalesce("x.p", F.lit("")).alias("cell"), F.coalesce(F.col("x.p") == F.col("own"), F.lit(True)).alias("home"))
 
 
-def radius_join(records: DataFrame, radius: int) -> DataFrame:
+def radius_join(records: DataFrame, radius: int, traits: tuple[str, ...] = (), fit: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(a, b) with a < b: ids of records that share a block and have names at most ``radius`` apart there.
 
-    ``records`` has (block, name, id); a record may have several names and blocks.
-    Null blocks and names join nothing; repeated rows do no harm.
+    ``records`` has (block, name, id) and the columns ``traits``; a record may have
+    several names and blocks.  ``fit(x, y)`` is a further condition on the traits of
+    both sides, columns named with the prefixes ``x`` and ``y``.  Records alike in
+    block, name and traits are compared once.  Null blocks and names join nothing;
+    repeated rows do no harm.
     """
-    records = records.select("block", "name", "id").distinct()
+    kept = ["block", "name", *traits]
+    records = records.select(*kept, "id").where(F.col("block").isNotNull() & F.col("name").isNotNull()).distinct()
     at = cells(records, radius)
-    # names first: equal and near names inside each cell
-    x = at.where("home").select("block", "cell", F.col("name").alias("na"))
-    y = at.select("block", "cell", F.col("name").alias("nb"))
-    near = x.join(y, ["block", "cell"]).where(F.levenshtein("na", "nb", radius) >= 0).select("block", F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb")).distinct()
-    ra = records.select("block", F.col("name").alias("na"), F.col("id").alias("ia"))
-    rb = records.select("block", F.col("name").alias("nb"), F.col("id").alias("ib"))
-    both = near.join(ra, ["block", "na"]).join(rb, ["block", "nb"]).where("ia <> ib")
+    alike = records.groupBy("block", *kept[1:]).agg(F.count("*").alias("n")).drop("n").withColumn("like", F.xxhash64(*kept))
+    side = lambda p, rows: rows.select("block", "cell", *[F.col(c).alias(f"{p}_{c}") for c in (*kept[1:], "like")])
+    told = alike.join(at, ["block", "name"])
+    x, y = side("x", told.where("home")), side("y", told)
+    near = x.join(y, ["block", "cell"]).where(F.levenshtein("x_name", "y_name", radius) >= 0)
+    if fit is not None:
+        near = near.where(fit("x", "y"))
+    near = near.select(F.least("x_like", "y_like").alias("la"), F.greatest("x_like", "y_like").alias("lb")).distinct()
+    member = records.select(F.xxhash64(*kept).alias("like"), "id")
+    both = near.join(member.select(F.col("like").alias("la"), F.col("id").alias("ia")), "la").join(member.select(F.col("like").alias("lb"), F.col("id").alias("ib")), "lb").where("ia <> ib")
     return both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()

@@ -95,6 +95,23 @@ def given_like(word: str) -> bool:
     return 4 <= len(word) <= 30 and any(osa(word, f, 1) <= 1 for s in _shorter(word) for f in _NEAR.get(s, ()))
 
 
+_NEAR_FORMS: dict[str, set[tuple[str, int]]] = {}
+for _k, _group in enumerate(GROUPS):
+    for _w in _group:
+        if len(_w) >= 4:
+            for _s in _shorter(_w):
+                _NEAR_FORMS.setdefault(_s, set()).add((_w, _k))
+
+
+@remembered(200_000)
+def given_groups(word: str) -> list[int]:
+    """The names of which a given name is a form, or one edit from a form of four letters or more: two names have one in common wherever ``same_given`` goes by forms."""
+    found = set(_FORMS.get(word, ()))
+    if 3 <= len(word) <= 30:
+        found |= {k for s in _shorter(word) for f, k in _NEAR_FORMS.get(s, ()) if osa(word, f, 1) <= 1}
+    return sorted(found)
+
+
 def same_given(a: str, b: str) -> int:
     """2: the same given name (typos, short forms); 1: one is the other's initial; 0: neither."""
     if a == b and len(a) > 1:

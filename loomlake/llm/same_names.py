@@ -2,7 +2,8 @@
 
 Both link records whose surnames lie within a radius of each other, by
 ``metric_join``: doctors inside their clinic, patients inside each piece of
-evidence they share (date of birth, phone, place).  Every linked pair is then
+evidence they share (date of birth, phone, place), there also where the fields
+of one are swapped.  Every linked pair is then
 judged; groups are the connected components of the accepted pairs.
 """
 
@@ -12,14 +13,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.llm.addresses import places
 from loomlake.llm.edits import osa
 from loomlake.llm.graph import components
 from loomlake.llm.metric_join import radius_join
-from loomlake.llm.names import Name, family_distance, family_keys, read_doctor, read_person, same_given
+from loomlake.llm.names import Name, family_distance, family_keys, given_groups, read_doctor, read_person, same_given
 from loomlake.session import durable
 
 _YEAR_FIRST = regex.compile(r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})")
@@ -111,8 +112,8 @@ def doctor_groups(visits: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- patients
 
-# Dates that stand for an unknown date of birth.
-NO_DATES = frozenset(("19000101", "19010101", "99991231", "00010101", "11111111", "18991231", "19700101"))
+# Dates that stand for an unknown date of birth, and are nobody's.
+NO_DATES = frozenset(("19000101", "99991231", "00010101", "11111111", "18991231"))
 
 
 def birth(text: str | None) -> str | None:
@@ -191,15 +192,31 @@ def compared(a: dict, b: dict) -> bool:
     return contact == 2 and blood is True and gender is not False
 
 
+#: What a record is found by: its surname; its given name, in a field of its own or in the other's; its given name alone, where it has no surname to be found by.
+FAMILY, GIVEN, ALONE = "f", "g", "a"
+
+
+def may_be_one(x: str, y: str) -> Column:
+    """Whether two records' further names allow what ``compared`` accepts: given names alike, or both fields swapped."""
+    c = lambda p, n: F.col(f"{p}_{n}")
+    gx, gy = c(x, "other"), c(y, "other")
+    edits = F.when(F.least(F.length(gx), F.length(gy)) >= 6, 4).otherwise(2)  # two swapped letters are two edits here
+    alike = (gx == "") | (gy == "") | ((F.least(F.length(gx), F.length(gy)) == 1) & (F.substring(gx, 1, 1) == F.substring(gy, 1, 1))) | F.arrays_overlap(c(x, "forms"), c(y, "forms")) | (F.levenshtein(gx, gy) <= edits)
+    role = lambda a, b: (c(x, "role") == a) & (c(y, "role") == b)
+    near = F.levenshtein(c(x, "name"), c(y, "name")) <= 4
+    return role(FAMILY, FAMILY) & alike | role(FAMILY, GIVEN) & (gx != "") & (gy != "") & near & (F.levenshtein(gx, gy) <= 4) | role(ALONE, GIVEN)
+
+
 _FIELDS = ("first_name", "last_name", "dob", "gender", "blood_type", "phone")
 _PARSED = ("given", "family", "suffix", "born", "digits", "sex", "blood")
-_PEOPLE = "patient_id string, place long, " + ", ".join(f"{c} string" for c in _PARSED) + ", blocks array<string>, keys array<string>"
+_PEOPLE = "patient_id string, place long, " + ", ".join(f"{c} string" for c in _PARSED) + ", blocks array<string>, keys array<struct<role: string, name: string, other: string>>, forms array<int>"
+_KEY = pa.struct([("role", pa.string()), ("name", pa.string()), ("other", pa.string())])
 
 
 def _people(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each record read once: its name, its evidence, the blocks it belongs to and the names it is to be found by."""
-    kinds = [pa.string(), pa.int64(), *[pa.string()] * len(_PARSED), pa.list_(pa.string()), pa.list_(pa.string())]
-    names = ["patient_id", "place", *_PARSED, "blocks", "keys"]
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * len(_PARSED), pa.list_(pa.string()), pa.list_(_KEY), pa.list_(pa.int32())]
+    names = ["patient_id", "place", *_PARSED, "blocks", "keys", "forms"]
     for b in batches:
         rows = []
         cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("patient_id", "place", *_FIELDS)]
@@ -208,12 +225,15 @@ def _people(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n is None:
                 continue
             born, tel = birth(dob), digits(phone)
-            keys = family_keys(n.family)
-            if n.given and all(len(w) <= SHORT for w in keys):
-                keys.append(n.given)
+            families = family_keys(n.family)
+            keys = [{"role": FAMILY, "name": w, "other": n.given} for w in families]
+            if n.given:
+                keys += [{"role": GIVEN, "name": n.given, "other": w} for w in families or [""]]
+                if all(len(w) <= SHORT for w in families):
+                    keys.append({"role": ALONE, "name": n.given, "other": ""})
             blocks = [k + v for k, v in (("d", born), ("p", tel), ("a", None if place is None else str(place))) if v]
             sex = (gender or "").strip().lower()[:1]
-            rows.append((i, place, n.given, n.family, n.suffix, born, tel, sex if sex in ("m", "f") else None, (blood or "").strip().upper() or None, blocks, keys))
+            rows.append((i, place, n.given, n.family, n.suffix, born, tel, sex if sex in ("m", "f") else None, (blood or "").strip().upper() or None, blocks, keys, given_groups(n.given)))
         out = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(out, kinds, strict=True)], names=names)
 
@@ -240,8 +260,9 @@ def one_per_patient(patients: DataFrame) -> DataFrame:
 def patient_groups(patients: DataFrame) -> DataFrame:
     """(patient_id, grp): records that share a person with another record."""
     people = durable(one_per_patient(patients).select("patient_id", "place", *_FIELDS).mapInArrow(_people, _PEOPLE))
-    records = people.select(F.col("patient_id").alias("id"), F.explode("blocks").alias("block"), "keys").select("block", F.explode("keys").alias("name"), "id")
-    near = radius_join(records, PATIENT_RADIUS)
+    blocks = people.select(F.col("patient_id").alias("id"), F.explode("blocks").alias("block"), "keys", "forms")
+    records = blocks.select("block", F.explode("keys").alias("k"), "id", "forms").select("block", "k.name", "id", "k.role", "k.other", "forms")
+    near = radius_join(records, PATIENT_RADIUS, ("role", "other", "forms"), may_be_one)
     side = lambda s: people.select(F.col("patient_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in (*_PARSED, "place")])
     links = near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_judged_patients, "a string, b string")
     return components(links).select(F.col("node").alias("patient_id"), F.col("component").alias("grp"))

@@ -203,8 +203,7 @@ def test_levenshtein_is_a_metric(a, b, c):
     assert d(a, b, 2) == (full if full <= 2 else 3)
 
 
-def test_radius_join_matches_brute_force_with_pivots(spark, monkeypatch):
-    monkeypatch.setattr(metric_join, "CELL_NAMES", 20)
+def test_radius_join_matches_brute_force_with_pivots(spark):
     rng = random.Random(3)
     recs = [(rng.choice(["x", "x", "y", None]), "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 8))) if rng.random() > 0.05 else None, i) for i in range(400)]
     df = spark.createDataFrame(recs, "block string, name string, id long")
@@ -215,7 +214,26 @@ def test_radius_join_matches_brute_force_with_pivots(spark, monkeypatch):
     assert got == want
 
 
-def test_components(spark):
+def test_swapped_fields_outside_the_list_of_forms(spark, folder):
+    """Both fields find a record: swapped names that no list knows, and a swap with a typo; other persons of the same day stay apart."""
+    people = [("A", "Thandiwe", "Okonkwo"), ("B", "Okonkwo", "Thandiwe"), ("C", "Okonkwo", "Thandiwwe"), ("D", "Thandiwe", "Mbeki"), ("E", "Sipho", "Okonkwo")]
+    patients = [{"patient_id": i, "first_name": a, "last_name": b, "dob": "1970-01-01", "gender": "F", "blood_type": "A+", "phone": "555-201-9934" if i in "ABC" else None} for i, a, b in people]
+    got = {(x[2], x[3]) for x in rows(Q.p1_found(spark, folder(patients=patients)))}
+    assert got == {("A", "B"), ("A", "C"), ("B", "C")}
+
+
+def test_records_of_a_hot_block_meet_by_both_names(spark):
+    """On a day that a third of all share, one surname does not make candidates of all who have it."""
+    records = [("d1", "smith", i, same_names.FAMILY, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3}xyz", []) for i in range(300)] + [("d1", "smyth", 300, same_names.FAMILY, "aaaaaaxyz", [])]
+    df = spark.createDataFrame(records, "block string, name string, id long, role string, other string, forms array<int>")
+    got = set(rows(metric_join.radius_join(df, 4, ("role", "other", "forms"), same_names.may_be_one)))
+    want = {(i, j) for (_, _, i, _, g, _), (_, _, j, _, h, _) in itertools.combinations(records, 2) if edits.levenshtein(g, h) <= 4}
+    assert got == want and len(got) < 300 * 299 / 8
+
+
+@pytest.mark.parametrize("few", [0, 400_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5)]
     parent = list(range(400))
