@@ -12,6 +12,7 @@ A block has about n sqrt(n) / 4 distances to pivots, and one rule at every size.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,36 +25,41 @@ def pivot_count(n: Column) -> Column:
 def cells(names: DataFrame, radius: int) -> DataFrame:
     """(block, name, cell, home): each distinct (block, name) in its home cell, and in those it is replicated to."""
     each = names.select("block", "name").where(F.col("block").isNotNull() & F.col("name").isNotNull()).distinct()
+    return placed(each, radius)
+
+
+def placed(each: DataFrame, radius: int) -> DataFrame:
+    """The rows of ``each`` (block, name, ...) with their cells; a name and block may stand in several rows."""
     several = each.groupBy("block").agg(F.count("*").alias("n")).where(pivot_count(F.col("n")) > 1)
-    pivots = each.join(several, "block").where(F.pmod(F.xxhash64("name"), F.col("n")) < pivot_count(F.col("n"))).select("block", F.col("name").alias("pivot"))
+    pivots = each.join(several.withColumnRenamed("n", "_n"), "block").where(F.pmod(F.xxhash64("name"), F.col("_n")) < pivot_count(F.col("_n"))).select("block", F.col("name").alias("pivot"))
     held = pivots.groupBy("block").agg(F.collect_set("pivot").alias("pivots"))  # about sqrt(n) / 4 of a block's n names
     away = F.transform("pivots", lambda p: F.struct(F.levenshtein(F.col("name"), p).alias("d"), p.alias("p")))
     far = each.join(held, "block", "left").withColumn("ps", away)
     nearest = F.array_min("ps")
-    placed = far.select("block", "name", F.explode_outer(F.filter("ps", lambda x: x["d"] <= nearest["d"] + 2 * radius)).alias("x"), nearest["p"].alias("own"))
-    return placed.select("block", "name", F.coalesce("x.p", F.lit("")).alias("cell"), F.coalesce(F.col("x.p") == F.col("own"), F.lit(True)).alias("home"))
+    at = far.select(*each.columns, F.explode_outer(F.filter("ps", lambda x: x["d"] <= nearest["d"] + 2 * radius)).alias("x"), nearest["p"].alias("own"))
+    return at.select(*each.columns, F.coalesce("x.p", F.lit("")).alias("cell"), F.coalesce(F.col("x.p") == F.col("own"), F.lit(True)).alias("home"))
 
 
-def radius_join(records: DataFrame, radius: int, traits: tuple[str, ...] = (), fit: Callable[[str, str], Column] | None = None) -> DataFrame:
+def radius_join(records: DataFrame, radius: int, roles: tuple[tuple[str, str], ...] = (("", ""),), traits: tuple[str, ...] = (), fit: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(a, b) with a < b: ids of records that share a block and have names at most ``radius`` apart there.
 
-    ``records`` has (block, name, id) and the columns ``traits``; a record may have
-    several names and blocks.  ``fit(x, y)`` is a further condition on the traits of
-    both sides, columns named with the prefixes ``x`` and ``y``.  Records alike in
-    block, name and traits are compared once.  Null blocks and names join nothing;
-    repeated rows do no harm.
+    ``records`` has (block, name, id); a record may have several names and blocks.
+    With ``roles`` there is a column of that name, and only names of these pairs of
+    roles meet.  ``fit(x, y)`` is a further condition on the columns ``traits`` of both
+    sides, named with the prefixes ``x`` and ``y``.  First the different names of a
+    block meet, then the records of those that are near.  Null blocks and names join
+    nothing; repeated rows do no harm.
     """
-    kept = ["block", "name", *traits]
-    records = records.select(*kept, "id").where(F.col("block").isNotNull() & F.col("name").isNotNull()).distinct()
-    at = cells(records, radius)
-    alike = records.groupBy("block", *kept[1:]).agg(F.count("*").alias("n")).drop("n").withColumn("like", F.xxhash64(*kept))
-    side = lambda p, rows: rows.select("block", "cell", *[F.col(c).alias(f"{p}_{c}") for c in (*kept[1:], "like")])
-    told = alike.join(at, ["block", "name"])
-    x, y = side("x", told.where("home")), side("y", told)
-    near = x.join(y, ["block", "cell"]).where(F.levenshtein("x_name", "y_name", radius) >= 0)
+    if roles == (("", ""),):
+        records = records.withColumn("role", F.lit(""))
+    records = records.select("block", "name", "role", "id", *traits).where(F.col("block").isNotNull() & F.col("name").isNotNull())
+    at = placed(records.groupBy("block", "name", "role").agg(F.count("*").alias("n")), radius)
+    side = lambda p: at.select("block", "cell", *[F.col(c).alias(f"{p}_{c}") for c in ("name", "role", "n", "home")])
+    x, y = side("x").where("x_home").where(F.col("x_role").isin([a for a, _ in roles])), side("y").where(F.col("y_role").isin([b for _, b in roles]))
+    allowed = [(F.col("x_role") == a) & (F.col("y_role") == b) & ((F.col("x_name") < F.col("y_name")) | (F.col("x_name") == F.col("y_name")) & (F.col("x_n") > 1) if a == b else F.lit(True)) for a, b in roles]
+    near = x.join(y, ["block", "cell"]).where(reduce(Column.__or__, allowed)).where(F.levenshtein("x_name", "y_name", radius) >= 0).select("block", "x_name", "x_role", "y_name", "y_role").distinct()
+    of = lambda p: records.select("block", F.col("name").alias(f"{p}_name"), F.col("role").alias(f"{p}_role"), F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in traits])
+    both = near.join(of("x"), ["block", "x_name", "x_role"]).join(of("y"), ["block", "y_name", "y_role"]).where("x_id <> y_id")
     if fit is not None:
-        near = near.where(fit("x", "y"))
-    near = near.select(F.least("x_like", "y_like").alias("la"), F.greatest("x_like", "y_like").alias("lb")).distinct()
-    member = records.select(F.xxhash64(*kept).alias("like"), "id")
-    both = near.join(member.select(F.col("like").alias("la"), F.col("id").alias("ia")), "la").join(member.select(F.col("like").alias("lb"), F.col("id").alias("ib")), "lb").where("ia <> ib")
-    return both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+        both = both.where(fit("x", "y"))
+    return both.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()

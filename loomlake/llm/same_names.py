@@ -194,6 +194,7 @@ def compared(a: dict, b: dict) -> bool:
 
 #: What a record is found by: its surname; its given name, in a field of its own or in the other's; its given name alone, where it has no surname to be found by.
 FAMILY, GIVEN, ALONE = "f", "g", "a"
+ROLES = ((FAMILY, FAMILY), (FAMILY, GIVEN), (ALONE, GIVEN))
 
 
 def may_be_one(x: str, y: str) -> Column:
@@ -203,8 +204,7 @@ def may_be_one(x: str, y: str) -> Column:
     edits = F.when(F.least(F.length(gx), F.length(gy)) >= 6, 4).otherwise(2)  # two swapped letters are two edits here
     alike = (gx == "") | (gy == "") | ((F.least(F.length(gx), F.length(gy)) == 1) & (F.substring(gx, 1, 1) == F.substring(gy, 1, 1))) | F.arrays_overlap(c(x, "forms"), c(y, "forms")) | (F.levenshtein(gx, gy) <= edits)
     role = lambda a, b: (c(x, "role") == a) & (c(y, "role") == b)
-    near = F.levenshtein(c(x, "name"), c(y, "name")) <= 4
-    return role(FAMILY, FAMILY) & alike | role(FAMILY, GIVEN) & (gx != "") & (gy != "") & near & (F.levenshtein(gx, gy) <= 4) | role(ALONE, GIVEN)
+    return role(FAMILY, FAMILY) & alike | role(FAMILY, GIVEN) & (gx != "") & (gy != "") & (F.levenshtein(gx, gy) <= 4) | role(ALONE, GIVEN)
 
 
 _FIELDS = ("first_name", "last_name", "dob", "gender", "blood_type", "phone")
@@ -262,7 +262,7 @@ def patient_groups(patients: DataFrame) -> DataFrame:
     people = durable(one_per_patient(patients).select("patient_id", "place", *_FIELDS).mapInArrow(_people, _PEOPLE))
     blocks = people.select(F.col("patient_id").alias("id"), F.explode("blocks").alias("block"), "keys", "forms")
     records = blocks.select("block", F.explode("keys").alias("k"), "id", "forms").select("block", "k.name", "id", "k.role", "k.other", "forms")
-    near = radius_join(records, PATIENT_RADIUS, ("role", "other", "forms"), may_be_one)
+    near = radius_join(records, PATIENT_RADIUS, ROLES, ("other", "forms"), may_be_one)
     side = lambda s: people.select(F.col("patient_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in (*_PARSED, "place")])
     links = near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_judged_patients, "a string, b string")
     return components(links).select(F.col("node").alias("patient_id"), F.col("component").alias("grp"))

@@ -226,7 +226,7 @@ def test_records_of_a_hot_block_meet_by_both_names(spark):
     """On a day that a third of all share, one surname does not make candidates of all who have it."""
     records = [("d1", "smith", i, same_names.FAMILY, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3}xyz", []) for i in range(300)] + [("d1", "smyth", 300, same_names.FAMILY, "aaaaaaxyz", [])]
     df = spark.createDataFrame(records, "block string, name string, id long, role string, other string, forms array<int>")
-    got = set(rows(metric_join.radius_join(df, 4, ("role", "other", "forms"), same_names.may_be_one)))
+    got = set(rows(metric_join.radius_join(df, 4, same_names.ROLES, ("other", "forms"), same_names.may_be_one)))
     want = {(i, j) for (_, _, i, _, g, _), (_, _, j, _, h, _) in itertools.combinations(records, 2) if edits.levenshtein(g, h) <= 4}
     assert got == want and len(got) < 300 * 299 / 8
 
