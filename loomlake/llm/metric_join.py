@@ -53,10 +53,11 @@ def radius_join(records: DataFrame, radius: int, roles: tuple[tuple[str, str], .
     if roles == (("", ""),):
         records = records.withColumn("role", F.lit(""))
     records = records.select("block", "name", "role", "id", *traits).where(F.col("block").isNotNull() & F.col("name").isNotNull())
-    at = placed(records.groupBy("block", "name", "role").agg(F.count("*").alias("n")), radius)
-    side = lambda p: at.select("block", "cell", *[F.col(c).alias(f"{p}_{c}") for c in ("name", "role", "n", "home")])
+    records = records.withColumn("block", F.xxhash64("block"))  # short keys; blocks that fell together would only give more candidates
+    at = placed(records.groupBy("block", "name", "role").agg((F.count("*") > 1).alias("several")), radius)
+    side = lambda p: at.select("block", "cell", *[F.col(c).alias(f"{p}_{c}") for c in ("name", "role", "several", "home")])
     x, y = side("x").where("x_home").where(F.col("x_role").isin([a for a, _ in roles])), side("y").where(F.col("y_role").isin([b for _, b in roles]))
-    allowed = [(F.col("x_role") == a) & (F.col("y_role") == b) & ((F.col("x_name") < F.col("y_name")) | (F.col("x_name") == F.col("y_name")) & (F.col("x_n") > 1) if a == b else F.lit(True)) for a, b in roles]
+    allowed = [(F.col("x_role") == a) & (F.col("y_role") == b) & ((F.col("x_name") < F.col("y_name")) | (F.col("x_name") == F.col("y_name")) & F.col("x_several") if a == b else F.lit(True)) for a, b in roles]
     near = x.join(y, ["block", "cell"]).where(reduce(Column.__or__, allowed)).where(F.levenshtein("x_name", "y_name", radius) >= 0).select("block", "x_name", "x_role", "y_name", "y_role").distinct()
     of = lambda p: records.select("block", F.col("name").alias(f"{p}_name"), F.col("role").alias(f"{p}_role"), F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in traits])
     both = near.join(of("x"), ["block", "x_name", "x_role"]).join(of("y"), ["block", "y_name", "y_role"]).where("x_id <> y_id")

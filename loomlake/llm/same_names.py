@@ -233,7 +233,7 @@ def _people(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys.append({"role": ALONE, "name": n.given, "other": ""})
             blocks = [k + v for k, v in (("d", born), ("p", tel), ("a", None if place is None else str(place))) if v]
             sex = (gender or "").strip().lower()[:1]
-            rows.append((i, place, n.given, n.family, n.suffix, born, tel, sex if sex in ("m", "f") else None, (blood or "").strip().upper() or None, blocks, keys, given_groups(n.given)))
+            rows.append((i, place, n.given, n.family, n.suffix, born, tel, sex if sex in ("m", "f") else None, (blood or "").strip().upper() or None, blocks, keys, given_groups(n.given) or None))
         out = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(out, kinds, strict=True)], names=names)
 
