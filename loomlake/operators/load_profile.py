@@ -1,10 +1,11 @@
 """Changes between the loads of a table: nulls, ranges, patterns, distributions.
 
 Row counts and nulls per load come from the Parquet footers (``footers``); only
-row groups that hold several loads are opened for them.  Values are scanned
-once, as counted runs (column, load, value), and all further figures come from
-the runs: the median and the range limit, the shares, and the exact
-Kolmogorov-Smirnov distance of one load from all others.
+row groups that hold several loads are opened for them.  Coded columns are counted
+by the dictionaries of their chunks.  Amounts, of which no footer tells how many
+lie beyond a limit, are scanned once, as counted runs (column, load, value), and
+their figures come from the runs: the median and the range limit, the shares, and
+the exact Kolmogorov-Smirnov distance of one load from all others.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomlake.operators.footers import column_profile, load_nulls
+from loomlake.operators.footers import coded_counts, column_profile, load_nulls
 from loomlake.operators.ordered import quantiles, ranged_runs, with_positions
 from loomlake.session import durable
 from loomlake.sources.tables import table
@@ -98,7 +99,7 @@ def coded_findings(spark: SparkSession, folder: str, watched: tuple[Watched, ...
     for w in watched:
         for c in w.coded:
             # the list is a fixed table of entries; the counts are (load, value)
-            counts = table(spark, folder, w.table).where(F.col(c).isNotNull()).groupBy("load_id", F.col(c).alias("value")).agg(F.count("*").alias("n"))
+            counts = coded_counts(spark, f"{folder}/{w.table}.parquet", "load_id", c)
             mine = listed.where(F.col("field_name") == c)
             counts = durable(counts.join(mine, counts["value"] == mine["entry"], "left").select("load_id", "value", "n", F.col("entry").isNotNull().alias("listed")))
             base = (F.lit(w.table).alias("table_name"), F.lit(c).alias("column_name"))

@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.session import durable, shuffle_partitions
+from loomlake.session import durable
+
+RUNS_PER_PARTITION = 50_000
 
 
 def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
@@ -30,7 +32,8 @@ def ranged_runs(runs: DataFrame, groups: list[str], value: str, partitions: int
     The cut is needed: a range partitioning recomputed after the loss of an
     executor may draw other borders, and the offsets would no longer fit.
     """
-    n = partitions or shuffle_partitions(runs.sparkSession)
+    runs = durable(runs)  # also read to count it and to draw the borders
+    n = partitions or max(1, -(-runs.count() // RUNS_PER_PARTITION))
     return durable(runs.repartitionByRange(n, *groups, value).withColumn("_pid", F.spark_partition_id()))
 
 

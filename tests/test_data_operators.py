@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 import numpy as np
 import pytest
 
-from loomlake.operators import load_profile, orphans, rolling
+from loomlake.operators import footers, load_profile, orphans, rolling
 from loomlake.operators.ordered import quantiles, ranged_runs, with_positions
 from loomlake.plans import data_queries as Q
 
@@ -203,6 +203,30 @@ def test_profile_of_empty_and_null_tables(spark, folder):
     assert p["visits", "bill_amount"][:3] == [2, 2, 0] and p["visits", "visit_id"][:3] == [2, 0, 2]
 
 
+def test_only_insufficient_chunks_are_read(spark, tmp_path):
+    """A table written load by load: footers answer nulls and the ranges of whole numbers and texts, dictionaries the distinct values; floats and chunks without statistics are read."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for load in (1, 2, 3):
+        n = 100 * load
+        t = pa.table({
+            "load_id": pa.array([load] * n, pa.int32()), "k": pa.array([i if i % 7 else None for i in range(-5, n - 5)], pa.int64()),
+            "s": pa.array([f"v{i % 9}" if i % 4 else None for i in range(n)], pa.string()), "x": pa.array([float("nan") if i == 3 else i / 2 for i in range(n)], pa.float64()),
+        })
+        pq.write_table(t, tmp_path / f"{load}.parquet", row_group_size=50, write_statistics=load != 3 or ["load_id", "s", "x"])
+    at = str(tmp_path)
+    nulls = {(l, c): (n, z, f) for l, c, n, z, f in rows(footers.load_nulls(spark, at, "load_id", ["k", "s"]))}
+    assert all(nulls[l, c][2] == (0 if (l, c) == (3, "k") else 100 * l) for l in (1, 2, 3) for c in ("k", "s")) and nulls[3, "s"][:2] == (300, 75)
+    p = {r["column_name"]: r for r in footers.column_profile(spark, at, ["load_id", "k", "s", "x"], distinct=False).collect()}
+    assert {c: p[c]["chunks_read"] for c in p} == {"load_id": 0, "k": 6, "s": 0, "x": 12} and p["k"]["chunks"] == 12
+    assert (p["k"]["lo"], p["k"]["hi"], p["k"]["n_nulls"]) == ("-5", "293", 14 + 28 + 43) and (p["s"]["lo"], p["s"]["hi"]) == ("v0", "v8") and (p["x"]["lo"], p["x"]["hi"]) == ("0.0", "149.5")
+    full = {r["column_name"]: r["n_distinct"] for r in footers.column_profile(spark, at, ["load_id", "k", "s", "x"]).collect()}
+    assert full == {"load_id": 3, "k": len({i for i in range(-5, 295) if i % 7}), "s": 9, "x": 300}
+    counts = {(l, v): n for l, v, n in rows(footers.coded_counts(spark, at, "load_id", "s"))}
+    assert sum(counts.values()) == 600 - 150 and counts[1, "v1"] == sum(1 for i in range(100) if i % 4 and i % 9 == 1)
+
+
 # ------------------------------------------------------------ ordered runs
 
 
