@@ -98,30 +98,24 @@ def daily(visits: DataFrame, entity: str, date_text: str, amount: str) -> DataFr
     )
 
 
-def _totals(entities: pa.Array, start: np.ndarray, day: np.ndarray, total: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of whole entities, sorted; ``start`` has where each entity begins, and the end."""
-    first, last = day[start[:-1]], day[start[1:] - 1]
-    shard0 = first // SHARD
-    shards = last // SHARD - shard0 + 1
-    base = np.concatenate(([0], np.cumsum(shards)))
+def _answers(entities: pa.Array, first: np.ndarray, last: np.ndarray, base: np.ndarray, tree_s: list[np.ndarray], tree_n: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row per entity and day from its first to its last, from the levels of its trees.
+
+    Entity k has the columns base[k] to base[k + 1] of every level, one per shard
+    in time order; the last column of all is zero throughout.
+    """
     trees = int(base[-1])
-    of = np.repeat(np.arange(len(first)), np.diff(start))
-    column = base[of] + day // SHARD - shard0[of]
-    sums, counts = np.zeros((SHARD, trees + 1)), np.zeros((SHARD, trees + 1))
-    sums[day % SHARD, column] = total
-    counts[day % SHARD, column] = n
     previous = np.arange(trees + 1) - 1
     previous[base[:-1]] = trees
     previous[trees] = trees
-    owner = np.repeat(np.arange(len(first)), shards)
-    shard = np.arange(trees) - base[owner] + shard0[owner]
+    owner = np.repeat(np.arange(len(first)), np.diff(base))
+    shard = np.arange(trees) - base[owner] + (first // SHARD)[owner]
     days = shard[:, None] * SHARD + np.arange(SHARD)
     inside = (days >= first[owner][:, None]) & (days <= last[owner][:, None])
     who = pa.array(np.broadcast_to(owner[:, None], inside.shape)[inside].astype(np.int32))
     low = int(first.min())
     calendar = pa.array(np.datetime_as_string(np.arange(low, int(last.max()) + 1).astype("datetime64[D]")))
     columns = [entities.take(who), calendar.take(pa.array((days[inside] - low).astype(np.int32)))]
-    tree_s, tree_n = build_levels(sums), build_levels(counts)
     for width in WINDOWS:
         t = np.round(window_sums(tree_s, previous, width)[:, :trees].T[inside], 2) + 0.0
         c = window_sums(tree_n, previous, width)[:, :trees].T[inside]
@@ -133,57 +127,89 @@ def _totals(entities: pa.Array, start: np.ndarray, day: np.ndarray, total: np.nd
         yield whole.slice(at, 65536)
 
 
-MOST_ROWS, MOST_TREES = 8192, 16384
+def _totals(entities: pa.Array, start: np.ndarray, day: np.ndarray, total: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Days of whole entities, sorted, into trees and these into answers; ``start`` has where each entity begins, and the end."""
+    first, last = day[start[:-1]], day[start[1:] - 1]
+    base = np.concatenate(([0], np.cumsum(last // SHARD - first // SHARD + 1)))
+    of = np.repeat(np.arange(len(first)), np.diff(start))
+    column = base[of] + day // SHARD - (first // SHARD)[of]
+    sums, counts = np.zeros((SHARD, base[-1] + 1)), np.zeros((SHARD, base[-1] + 1))
+    sums[day % SHARD, column] = total
+    counts[day % SHARD, column] = n
+    yield from _answers(entities, first, last, base, build_levels(sums), build_levels(counts))
 
 
-def trailing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (entity, day, total, n) batches in, one row per entity and day of its span out.
+def _stored(entities: pa.Array, start: np.ndarray, shard: np.ndarray, first_day: np.ndarray, last_day: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Stored trees of whole entities into answers: their nodes are taken as they are; shards that are not stored are zero."""
+    first, last = first_day[start[:-1]], last_day[start[1:] - 1]
+    base = np.concatenate(([0], np.cumsum(last // SHARD - first // SHARD + 1)))
+    of = np.repeat(np.arange(len(first)), np.diff(start))
+    column = base[of] + shard - (first // SHARD)[of]
+    levels = []
+    for nodes in (sums, counts):
+        whole = np.zeros((2 * SHARD - 1, base[-1] + 1))
+        whole[:, column] = nodes.T
+        levels.append(np.split(whole, np.cumsum([SHARD >> k for k in range(LEVELS - 1)])))
+    yield from _answers(entities, first, last, base, *levels)
 
-    The rows of the last entity of a batch wait for the next batch; an entity has at most one row per day.
-    """
-    held: pa.Table | None = None
-
-    def cut(t: pa.Table, end: bool) -> tuple[pa.Table | None, pa.Table | None]:
-        if end:
-            return t, None
-        codes = t.column("entity").combine_chunks()
-        last = codes[len(codes) - 1].as_py()
-        at = t.num_rows
-        names = codes
+
+MOST_ROWS, MOST_TREES = 8192, 16384
+
+
+def whole_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole entities from batches sorted by entity: the rows of a batch's last entity wait for the next one."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = b.column(b.schema.get_field_index("entity"))
+        last = names[len(names) - 1].as_py()
+        at = b.num_rows
         while at and names[at - 1].as_py() == last:
             at -= 1
-        return (t.slice(0, at) if at else None), t.slice(at)
-
-    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        names = t.column("entity").combine_chunks().dictionary_encode()
-        if isinstance(names, pa.ChunkedArray):
-            names = names.combine_chunks()
-        codes = names.indices.to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero(np.diff(codes)) + 1
-        starts = np.concatenate(([0], edges, [len(codes)]))
+        if at or held and held[-1].column(held[-1].schema.get_field_index("entity"))[-1].as_py() != last:
+            yield pa.Table.from_batches([*held, b.slice(0, at)]).combine_chunks()
+            held = []
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _spans(t: pa.Table, first_shard: np.ndarray, last_shard: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, int, int]]:
+    """(entities, starts, from row, to row): some thousand rows and trees at a time bound the matrices; an entity stays whole."""
+    names = t.column("entity").combine_chunks()
+    names = names.dictionary_encode() if not isinstance(names, pa.ChunkedArray) else names.combine_chunks().dictionary_encode()
+    codes = names.indices.to_numpy(zero_copy_only=False)
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]))
+    trees = np.concatenate(([0], np.cumsum(last_shard[starts[1:] - 1] - first_shard[starts[:-1]] + 1)))
+    k = 0
+    while k < len(starts) - 1:
+        e = min(int(np.searchsorted(starts, starts[k] + MOST_ROWS, side="right")), int(np.searchsorted(trees, trees[k] + MOST_TREES, side="right"))) - 1
+        e = max(k + 1, e)
+        yield names.dictionary.take(pa.array(codes[starts[k:e]])), starts[k : e + 1] - starts[k], int(starts[k]), int(starts[e])
+        k = e
+
+
+def trailing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (entity, day, total, n) batches in, one row per entity and day of its span out; an entity has at most one row per day."""
+    for t in whole_entities(batches):
+        if not t.num_rows:
+            continue
         day, total, n = (t.column(c).to_numpy() for c in ("day", "total", "n"))
-        trees = np.concatenate(([0], np.cumsum(day[starts[1:] - 1] // SHARD - day[starts[:-1]] // SHARD + 1)))
-        k = 0
-        while k < len(starts) - 1:  # some thousand rows and trees at a time bound the matrices
-            e = min(int(np.searchsorted(starts, starts[k] + MOST_ROWS, side="right")), int(np.searchsorted(trees, trees[k] + MOST_TREES, side="right"))) - 1
-            e = max(k + 1, e)
-            a, b = starts[k], starts[e]
-            ids = names.dictionary.take(pa.array(codes[starts[k:e]]))
-            yield from _totals(ids, starts[k : e + 1] - a, day[a:b].astype(np.int64), total[a:b], n[a:b])
-            k = e
+        day = day.astype(np.int64)
+        for entities, starts, a, b in _spans(t, day // SHARD, day // SHARD):
+            yield from _totals(entities, starts, day[a:b], total[a:b], n[a:b])
 
-    for b in batches:
-        if not b.num_rows:
+
+def stored_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same from stored trees, sorted by entity and shard."""
+    for t in whole_entities(batches):
+        if not t.num_rows:
             continue
-        t = pa.Table.from_batches([b])
-        if held is not None:
-            t = pa.concat_tables([held, t])
-        ready, held = cut(t, False)
-        if ready is not None:
-            yield from run(ready)
-    if held is not None and held.num_rows:
-        yield from run(held)
+        shard, first, last = (t.column(c).to_numpy().astype(np.int64) for c in ("shard", "first_day", "last_day"))
+        nodes = [t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for c in ("sums", "counts")]
+        for entities, starts, a, b in _spans(t, shard, shard):
+            yield from _stored(entities, starts, shard[a:b], first[a:b], last[a:b], *[x[a:b] for x in nodes])
 
 
 TOTALS_SCHEMA = "entity string, day string, " + ", ".join(f"total_{w} double, avg_{w} double" for w in WINDOWS)
@@ -198,6 +224,12 @@ def trailing_totals(days: DataFrame) -> DataFrame:
     return ordered.mapInArrow(trailing_batches, TOTALS_SCHEMA)
 
 
+def trailing_from_trees(trees: DataFrame) -> DataFrame:
+    """What ``trailing_totals`` gives, answered from stored trees, corrected ones too: every window is a few of their nodes."""
+    ordered = trees.repartition("entity").sortWithinPartitions("entity", "shard")
+    return ordered.mapInArrow(stored_batches, TOTALS_SCHEMA)
+
+
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = b.num_rows
@@ -215,12 +247,12 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * (2 * SHARD - 1))
             flat[name] = pa.ListArray.from_arrays(offsets, pa.array(nodes))
         yield pa.RecordBatch.from_arrays(
-            [b.column(b.schema.get_field_index("entity")), b.column(b.schema.get_field_index("shard")), flat["total"], flat["n"]],
-            names=["entity", "shard", "sums", "counts"],
+            [*[b.column(b.schema.get_field_index(c)) for c in ("entity", "shard", "first_day", "last_day")], flat["total"], flat["n"]],
+            names=["entity", "shard", "first_day", "last_day", "sums", "counts"],
         )
 
 
-TREE_SCHEMA = "entity string, shard int, sums array<double>, counts array<double>"
+TREE_SCHEMA = "entity string, shard int, first_day int, last_day int, sums array<double>, counts array<double>"
 
 
 def sharded(days: DataFrame) -> DataFrame:
@@ -228,13 +260,13 @@ def sharded(days: DataFrame) -> DataFrame:
     return (
         days.withColumn("shard", F.floor(F.col("day") / SHARD).cast("int"))
         .groupBy("entity", "shard")
-        .agg(F.collect_list(F.struct("day", "total", "n")).alias("days"))
+        .agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.collect_list(F.struct("day", "total", "n")).alias("days"))
     )
 
 
 def segment_trees(days: DataFrame) -> DataFrame:
-    """The stored form: one tree per entity and shard, all nodes flat, leaves first, root last."""
-    return sharded(days).select("entity", "shard", "days").mapInArrow(_tree_rows, TREE_SCHEMA)
+    """The stored form: one tree per entity and shard, all nodes flat, leaves first, root last, with the first and last day that has a row."""
+    return sharded(days).select("entity", "shard", "first_day", "last_day", "days").mapInArrow(_tree_rows, TREE_SCHEMA)
 
 
 def _corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,12 +279,14 @@ def _corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sums[k] += x["total"]
                     counts[k] += x["n"]
             r["sums"], r["counts"] = sums, counts
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("entity", pa.string()), ("shard", pa.int32()), ("sums", pa.list_(pa.float64())), ("counts", pa.list_(pa.float64()))]))
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("entity", pa.string()), ("shard", pa.int32()), ("first_day", pa.int32()), ("last_day", pa.int32()), ("sums", pa.list_(pa.float64())), ("counts", pa.list_(pa.float64()))]))
 
 
 def apply_corrections(trees: DataFrame, late: DataFrame) -> DataFrame:
     """Trees after late rows (entity, day, total, n): only touched trees enter Python, and there only a leaf's ancestors change."""
-    delta = sharded(late)
-    touched = trees.join(delta, ["entity", "shard"], "right").select("entity", "shard", "sums", "counts", "days")
+    delta = sharded(late).withColumnsRenamed({"first_day": "_first", "last_day": "_last"})
+    touched = trees.join(delta, ["entity", "shard"], "right").select(
+        "entity", "shard", F.least("first_day", "_first").alias("first_day"), F.greatest("last_day", "_last").alias("last_day"), "sums", "counts", "days"
+    )
     rest = trees.join(delta.select("entity", "shard"), ["entity", "shard"], "left_anti")
     return rest.unionByName(touched.mapInArrow(_corrected, TREE_SCHEMA))

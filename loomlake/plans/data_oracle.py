@@ -106,6 +106,7 @@ ORACLE = {
     "p2_load_figures": P2_FIGURES,
     "p2_column_profile": _profile_sql(),
     "p4_rolling_totals": P4,
+    "p4_corrected_totals": P4,
     "p4_corrected_trees": P4_TREES,
     "p7_found": P7,
     "p7_report": P7_REPORT,

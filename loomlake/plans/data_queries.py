@@ -34,13 +34,22 @@ def p4_rolling_totals(spark: SparkSession, folder: str) -> DataFrame:
     return rolling.trailing_totals(_visit_days(visits)).withColumnsRenamed({"entity": "patient_id", "day": "visit_day"})
 
 
-def p4_corrected_trees(spark: SparkSession, folder: str) -> DataFrame:
-    """Trees of all loads but the last, corrected by the last; the root of each tree comes out."""
+def _corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """Trees of all loads but the last, corrected by the last."""
     visits = first_delivery(table(spark, folder, "visits"), "visit_id", ["patient_id", "visit_date", "bill_amount"])
     last = F.lit(table(spark, folder, "visits").agg(F.max("load_id")).first()[0]).cast("int")
     trees = rolling.segment_trees(_visit_days(visits.where(F.col("load_id") < last)))
-    now = rolling.apply_corrections(trees, _visit_days(visits.where(F.col("load_id") == last)))
-    return now.select(
+    return rolling.apply_corrections(trees, _visit_days(visits.where(F.col("load_id") == last)))
+
+
+def p4_corrected_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The totals answered from the corrected trees."""
+    return rolling.trailing_from_trees(_corrected(spark, folder)).withColumnsRenamed({"entity": "patient_id", "day": "visit_day"})
+
+
+def p4_corrected_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """The root of each corrected tree."""
+    return _corrected(spark, folder).select(
         F.col("entity").alias("patient_id"), "shard", (F.round(F.element_at("sums", -1), 2) + F.lit(0.0)).alias("total"), F.element_at("counts", -1).cast("long").alias("n_amounts")
     )
 
@@ -58,6 +67,7 @@ QUERIES = {
     "p2_load_figures": p2_load_figures,
     "p2_column_profile": p2_column_profile,
     "p4_rolling_totals": p4_rolling_totals,
+    "p4_corrected_totals": p4_corrected_totals,
     "p4_corrected_trees": p4_corrected_trees,
     "p7_found": p7_found,
     "p7_report": p7_report,

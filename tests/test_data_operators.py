@@ -78,6 +78,18 @@ def test_rolling_empty_and_all_bad(spark, folder):
     assert rows(Q.p4_rolling_totals(spark, folder(visits=[{"visit_id": "1", "patient_id": "A", "visit_date": "x"}, {"visit_id": None}]))) == []
 
 
+def test_totals_of_corrected_trees_equal_a_rebuild(spark, folder):
+    rng = random.Random(11)
+    dates = [str(date(2020, 1, 1) + timedelta(days=rng.randrange(400) * rng.choice((1, 1, 5)))) for _ in range(300)]
+    visits = [{"visit_id": f"V{i}", "patient_id": f"P{rng.randrange(9)}", "visit_date": d, "bill_amount": rng.choice((None, 1.25, -3.0, float("nan"), 7.1)), "load_id": rng.randrange(1, 4)} for i, d in enumerate(dates)]
+    at = folder(visits=visits)
+    want = sorted(rows(Q.p4_rolling_totals(spark, at)), key=str)
+    assert sorted(rows(Q.p4_corrected_totals(spark, at)), key=str) == want and len(want) > 3000
+    days = Q._visit_days(Q.table(spark, at, "visits"))
+    assert sorted(rows(rolling.trailing_from_trees(rolling.segment_trees(days))), key=str) == want
+    assert rows(rolling.trailing_from_trees(rolling.segment_trees(days.limit(0)))) == []
+
+
 def test_rolling_span_of_centuries(spark, folder):
     at = folder(visits=[{"visit_id": str(i), "patient_id": "A", "visit_date": d, "bill_amount": 1.0} for i, d in enumerate(("1600-01-01", "2023-01-01"))])
     assert Q.p4_rolling_totals(spark, at).count() == (date(2023, 1, 1) - date(1600, 1, 1)).days + 1
