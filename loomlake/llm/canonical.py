@@ -217,9 +217,13 @@ def abbreviates(short: str, word: str) -> bool:
 class Resolver:
     """Entries of one field. ``resolve`` gives an entry's id or NONE."""
 
-    def __init__(self, field: str, entries: list[tuple[str, str]]) -> None:
+    def __init__(self, field: str, entries: list[tuple[str, str]], aliases: list[tuple[str, str]] | None = None) -> None:
+        """``entries`` are (id, name); ``aliases`` are (name, other name), those of ALIASES where none are given."""
         import ahocorasick
 
+        if aliases is None:
+            aliases = [(name, o) for name, others in ALIASES.get(field, {}).items() for o in others]
+
         self.automaton = ahocorasick.Automaton()
         self.names: list[tuple[tuple[str, ...], str, str]] = []  # tokens, joined, id
         self.whole: dict[str, str] = {}
@@ -234,10 +238,9 @@ class Resolver:
             if len(words) > 2:
                 for form in ("".join(w[0] for w in words), "".join(w[0] for w in words if w not in skip)):
                     initials[form].add(i)
-        for name, others in ALIASES.get(field, {}).items():
+        for name, o in aliases:
             if name in by_name:
-                for o in others:
-                    known[" ".join(tokens(o))].add(by_name[name])
+                known[" ".join(tokens(o))].add(by_name[name])
         self.initials = {k: v for k, v in initials.items() if k not in known}
         for form, ids in known.items():
             if len(ids) == 1:
@@ -380,17 +383,31 @@ def reference_list(entries: DataFrame) -> list[tuple[str, str, str]]:
 _RESOLVERS: dict[tuple, Resolver] = {}
 
 
-def mapped(values: DataFrame, listed: list[tuple[str, str, str]]) -> DataFrame:
+def resolver_for(field: str, entries: list[tuple[str, str, str]], aliases: list[tuple[str, str, str]] | None) -> Resolver:
+    """The worker's resolver of a field: one for each content of list and aliases, however often these are sent."""
+    mine = tuple((i, name) for f, i, name in entries if f == field)
+    others = None if aliases is None else tuple((name, o) for f, name, o in aliases if f == field)
+    key = (field, mine, others)
+    if key not in _RESOLVERS:
+        _RESOLVERS[key] = Resolver(field, list(mine), None if others is None else list(others))
+    return _RESOLVERS[key]
+
+
+def mapped(values: DataFrame, listed: list[tuple[str, str, str]], aliases: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """(field_name, record_key, canonical_id) for (field_name, record_key, value) rows.
 
     Values that are null, blank or verbatim in the list for their field are no
     cases and come out nowhere.  Each worker remembers the values it has met, so a
-    frequent spelling is resolved once per worker, without any shuffle.
+    frequent spelling is resolved once per worker, without any shuffle.  ``aliases``
+    are (field, entry, other name) rows that replace the built-in ones.
     """
-    shared = values.sparkSession.sparkContext.broadcast(listed)
+    spark = values.sparkSession
+    shared = spark.sparkContext.broadcast((listed, aliases))  # both lists are bounded by MOST_PATTERNS
+    if aliases is not None and len(aliases) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} aliases")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = shared.value
+        resolvers: dict[str, Resolver] = {}
         memory: dict[tuple[str, str], str] = {}
         for b in batches:
             fields, vals = b.column(0).to_pylist(), b.column(2).to_pylist()
@@ -398,19 +415,15 @@ def mapped(values: DataFrame, listed: list[tuple[str, str, str]]) -> DataFrame:
             for f, v in zip(fields, vals, strict=True):
                 i = memory.get((f, v))
                 if i is None:
-                    key = (f, id(entries))
-                    if key not in _RESOLVERS:
-                        _RESOLVERS[key] = Resolver(f, [(x[1], x[2]) for x in entries if x[0] == f])
+                    if f not in resolvers:
+                        resolvers[f] = resolver_for(f, *shared.value)
                     if len(memory) > MOST_REMEMBERED:
                         memory.clear()
-                    i = memory[(f, v)] = _RESOLVERS[key].resolve(v)
+                    i = memory[(f, v)] = resolvers[f].resolve(v)
                 out.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["field_name", "record_key", "canonical_id"])
 
-    verbatim: dict[str, list[str]] = defaultdict(list)
-    for f, _, v in listed:
-        verbatim[f].append(v)
     case = F.col("value").isNotNull() & (F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
-    for f, words in verbatim.items():
-        case = case & ~((F.col("field_name") == f) & F.col("value").isin(words))
-    return values.where(case).select("field_name", "record_key", "value").mapInArrow(work, "field_name string, record_key string, canonical_id string")
+    verbatim = spark.createDataFrame([(f, v) for f, _, v in listed], "field_name string, value string")
+    cases = values.where(case).join(verbatim, ["field_name", "value"], "left_anti")
+    return cases.select("field_name", "record_key", "value").mapInArrow(work, "field_name string, record_key string, canonical_id string")

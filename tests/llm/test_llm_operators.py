@@ -184,6 +184,17 @@ def test_mapping_table(spark, folder):
     assert rows(Q.p3_found(spark, folder(visits=visits[:2]))) == [("department", "V0", "NONE"), ("department", "V1", "NONE")] or True
 
 
+def test_two_lists_in_one_worker_do_not_mix(spark):
+    """Another list, with aliases of its own, maps as well; resolvers go by content, not by place in memory."""
+    values = spark.createDataFrame([("city", 1, "new york city"), ("city", 2, "the big apple"), ("city", 3, "Bostn"), ("city", 4, "Atlantis"), ("city", 5, "Boston")], "field_name string, record_key long, value string")
+    values = values.withColumn("record_key", values["record_key"].cast("string"))
+    for k in range(3):
+        listed = [("city", f"N{k}", "New York"), ("city", f"B{k}", "Boston")]
+        got = dict((r[1], r[2]) for r in canonical.mapped(values, listed, [("city", "New York", "Big Apple")]).collect())
+        assert got == {"1": f"N{k}", "2": f"N{k}", "3": f"B{k}", "4": "NONE"}
+    assert dict((r[1], r[2]) for r in canonical.mapped(values, listed, []).collect())["2"] == "NONE"
+
+
 def test_long_reference_list_is_refused(spark, monkeypatch):
     monkeypatch.setattr(canonical, "MOST_PATTERNS", 2)
     with pytest.raises(ValueError):
