@@ -15,13 +15,14 @@ def hot_values(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     return [k for k in (found[0][0] or []) if k is not None] if found else []
 
 
-def skewed_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def skewed_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", probe: DataFrame | None = None) -> DataFrame:
     """Join ``many`` to ``one``; ``how`` is inner or left.
 
-    Rows of hot keys meet a broadcast of the few rows of ``one`` with those keys,
+    Hot keys are looked for in ``probe``, a cheap scan with the same keys under the
+    same name; without one in ``many`` itself, which is then computed twice.  Rows of hot keys meet a broadcast of the few rows of ``one`` with those keys,
     whose number is checked; all others go through an ordinary shuffle.
     """
-    hot = hot_values(many, key)
+    hot = hot_values(many if probe is None else probe, key)
     if not hot or one.where(F.col(key).isin(hot)).limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
         return many.join(one, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

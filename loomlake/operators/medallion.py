@@ -51,11 +51,12 @@ def join_owner(spec: TableSpec, on: str, done: list[str]) -> str:
     return holders[-1] if holders else spec.base
 
 
-def silver(spec: TableSpec, tables: dict[str, DataFrame]) -> DataFrame:
+def silver(spec: TableSpec, tables: dict[str, DataFrame], scans: dict[str, DataFrame] | None = None) -> DataFrame:
     """The spec's inner equi-joins and projections; only the columns it names are read.
 
     Rows whose join key is null match nothing.  A key that holds a large share of
-    the rows is joined apart from the others.
+    the rows is joined apart from the others; ``scans`` are the same tables before
+    any work, where such keys are cheap to find.
     """
     need = needed_columns(spec)
     flat = lambda t: tables[t].select(*[F.col(c).alias(f"{t}__{c}") for c in need[t]])
@@ -65,7 +66,8 @@ def silver(spec: TableSpec, tables: dict[str, DataFrame]) -> DataFrame:
         owner = join_owner(spec, j.on, done)
         left = now.withColumn("_key", F.col(f"{owner}__{j.on}")).where(F.col("_key").isNotNull())
         right = flat(j.table).withColumn("_key", F.col(f"{j.table}__{j.on}"))
-        now = skewed_join(left, right, "_key").drop("_key")
+        probe = scans[owner].select(F.col(j.on).alias("_key")) if scans else None
+        now = skewed_join(left, right, "_key", probe=probe).drop("_key")
         done.append(j.table)
     names = sorted(need, key=len, reverse=True)
 

@@ -6,30 +6,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.operators.profile import melted, profile
+from loomlake.session import durable
 
 SET_SIZE = 10
 
 
-def expectations(df: DataFrame) -> DataFrame:
-    """(expectation_type, column_name, success, observed_value): one row per expectation.
+def suite_of(p: DataFrame, words: DataFrame) -> DataFrame:
+    """(expectation_type, column_name, lo, hi, allowed): what a profile, and the values of columns with few, lead one to expect.
 
-    The five kinds: row count, no nulls (where the rounded share of nulls is 0,
-    so that one null in very many rows is found to fail), uniqueness (where all
-    values differ), numeric range, and membership (up to ten different values).
+    The five kinds: row count, no nulls (where the rounded share of nulls is 0, so
+    that one null in very many rows is found to fail), uniqueness (where all values
+    differ), numeric range, and membership (up to ten different values).
     """
-    p = profile(df)
-    n = p.agg(F.max("n_rows").alias("n"))
-    table = n.select(
-        F.lit("row_count").alias("expectation_type"), F.lit(None).cast("string").alias("column_name"), F.lit(True).alias("success"), F.col("n").cast("string").alias("observed_value")
-    ).where("n is not null")
-    plain = lambda kind, when, ok, seen: p.where(when).select(F.lit(kind).alias("expectation_type"), "column_name", ok.alias("success"), seen.cast("string").alias("observed_value"))
-    not_null = plain("not_null", F.col("null_pct") == 0, F.col("null_count") == 0, F.col("null_count"))
-    unique = plain("unique", F.col("unique_count") == F.col("n_rows"), F.lit(True), F.col("unique_count"))
-    between = plain("between", F.col("min_value").isNotNull(), F.lit(True), F.col("unique_count"))
-    few = p.where((F.col("unique_count") > 0) & (F.col("unique_count") <= SET_SIZE)).select("column_name")
-    words = melted(df).where("value is not null").join(F.broadcast(few), "column_name").groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_set("value")), "|").alias("seen"))
-    in_set = words.select(F.lit("in_set").alias("expectation_type"), "column_name", F.lit(True).alias("success"), F.col("seen").alias("observed_value"))
-    return table.unionByName(not_null).unionByName(unique).unionByName(between).unionByName(in_set)
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    kind = lambda name, column, lo=none, hi=none, allowed=F.lit(None).cast("array<string>"): [F.lit(name).alias("expectation_type"), column.alias("column_name"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), allowed.alias("allowed")]
+    n = p.agg(F.max("n_rows").alias("n")).where("n is not null")
+    c = F.col("column_name")
+    return (
+        n.select(*kind("row_count", text, F.col("n"), F.col("n")))
+        .unionByName(p.where("null_pct = 0").select(*kind("not_null", c)))
+        .unionByName(p.where("unique_count = n_rows").select(*kind("unique", c)))
+        .unionByName(p.where("min_value is not null").select(*kind("between", c, F.col("min_value"), F.col("max_value"))))
+        .unionByName(words.select(*kind("in_set", c, none, none, F.col("seen"))))
+    )
+
+
+def _seen(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, seen): the different non-null values of columns known to have few."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, seen array<string>")
+    return melted(df.select(*columns)).where("value is not null").groupBy("column_name").agg(F.array_sort(F.collect_set("value")).alias("seen"))
+
+
+def held(suite: DataFrame, p: DataFrame, words: DataFrame) -> DataFrame:
+    """Each expectation with its outcome on a profiled table: (expectation_type, column_name, success, observed_value).
+
+    row_count: lo to hi rows.  not_null and unique: by column, nulls left out of
+    uniqueness.  between: lo to hi, nulls left out.  in_set: allowed values, nulls
+    left out; ``words`` has the values of the columns concerned.
+    """
+    total = F.lit(p.agg(F.coalesce(F.max("n_rows"), F.lit(0))).first()[0])  # one row
+    joined = suite.join(p, "column_name", "left").join(words, "column_name", "left").withColumn("total", total)
+    kind, c = F.col("expectation_type"), F.col
+    outside = F.size(F.array_except("seen", "allowed"))
+    ok = (
+        F.when(kind == "row_count", c("total").between(c("lo"), c("hi")))
+        .when(kind == "not_null", F.coalesce("null_count", F.lit(0)) == 0)
+        .when(kind == "unique", F.coalesce(c("unique_count") == c("n_rows") - c("null_count"), F.lit(True)))
+        .when(kind == "between", F.coalesce((c("min_value") >= c("lo")) & (c("max_value") <= c("hi")), F.lit(True)))
+        .when(kind == "in_set", F.coalesce(outside == 0, F.lit(True)))
+    )
+    seen = (
+        F.when(kind == "row_count", c("total").cast("string"))
+        .when(kind == "not_null", F.coalesce("null_count", F.lit(0)).cast("string"))
+        .when(kind == "unique", c("unique_count").cast("string"))
+        .when(kind == "between", F.concat_ws("..", "min_value", "max_value"))
+        .when(kind == "in_set", F.array_join("seen", "|"))
+    )
+    return joined.select("expectation_type", "column_name", ok.alias("success"), seen.alias("observed_value"))
+
+
+def expectations(df: DataFrame) -> DataFrame:
+    """The suite derived from a table, held against the table itself: one row per expectation."""
+    p = durable(profile(df))
+    few = [r[0] for r in p.where((F.col("unique_count") > 0) & (F.col("unique_count") <= SET_SIZE)).select("column_name").collect()]  # column names
+    words = durable(_seen(df, few))
+    return held(suite_of(p, words), p, words)
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -40,29 +82,13 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def checked(df: DataFrame, suite: DataFrame) -> DataFrame:
-    """Hold another load of a table against a suite of (expectation_type, column_name, lo, hi, allowed).
-
-    row_count: lo to hi rows.  not_null and unique: by column.  between: lo to hi,
-    nulls left out.  in_set: allowed values, nulls left out.
-    """
-    p = profile(df)
-    total = F.lit(p.agg(F.coalesce(F.max("n_rows"), F.lit(0))).first()[0])
-    words = melted(df).where("value is not null").select("column_name", "value").distinct()
-    outside = (
-        words.join(F.broadcast(suite.where("expectation_type = 'in_set'").select("column_name", "allowed")), "column_name")
-        .groupBy("column_name")
-        .agg(F.count_if(~F.array_contains("allowed", F.col("value"))).alias("n_outside"))
-    )
-    joined = suite.join(p, "column_name", "left").join(outside, "column_name", "left")
-    kind = F.col("expectation_type")
-    ok = (
-        F.when(kind == "row_count", total.between(F.col("lo"), F.col("hi")))
-        .when(kind == "not_null", F.coalesce(F.col("null_count"), F.lit(0)) == 0)
-        .when(kind == "unique", F.coalesce(F.col("unique_count") == F.col("n_rows") - F.col("null_count"), F.lit(True)))
-        .when(kind == "between", F.coalesce((F.col("min_value") >= F.col("lo")) & (F.col("max_value") <= F.col("hi")), F.lit(True)))
-        .when(kind == "in_set", F.coalesce(F.col("n_outside"), F.lit(0)) == 0)
-    )
-    return joined.select("expectation_type", "column_name", ok.alias("success"))
+    """Hold another load of a table against a suite of (expectation_type, column_name, lo, hi, allowed)."""
+    columns = [r[0] for r in suite.where("expectation_type = 'in_set'").select("column_name").distinct().collect() if r[0] in df.columns]
+    listed = suite.where("expectation_type = 'in_set'").select("column_name", "allowed")
+    # of columns with many values only one that is not allowed is kept, enough to fail
+    words = melted(df.select(*columns)).where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n")) if columns else None
+    seen = _seen(df, []) if words is None else words.join(F.broadcast(listed), "column_name").groupBy("column_name").agg(F.array_compact(F.array(F.min(F.when(~F.array_contains("allowed", F.col("value")), F.col("value"))))).alias("seen"))
+    return held(suite, durable(profile(df)), seen).drop("observed_value")
 
 
 def profiled_tables(tables: dict[str, DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:
@@ -70,7 +96,7 @@ def profiled_tables(tables: dict[str, DataFrame]) -> tuple[DataFrame | None, dic
     out, errors = None, {}
     for name, df in tables.items():
         try:
-            part = expectations(df).withColumn("table_name", F.lit(name))
+            part = durable(expectations(df).withColumn("table_name", F.lit(name)))  # run here, so that a failure belongs to its table
         except Exception as e:  # noqa: BLE001 - the error is the result
             errors[name] = str(e)[:500]
             continue

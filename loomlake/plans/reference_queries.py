@@ -70,12 +70,16 @@ def _bronze(spark, folder, spec):
     return {t: medallion.bronze(spark, folder, t, RAW_KEYS[t], cols) for t, cols in need.items()}
 
 
+def _silver(spark, folder, spec):
+    return medallion.silver(spec, _bronze(spark, folder, spec), {t: table(spark, folder, t) for t in RAW_KEYS})
+
+
 def silver_clinical(spark, folder):
-    return plain(medallion.silver(CLINICAL, _bronze(spark, folder, CLINICAL)), "age")
+    return plain(_silver(spark, folder, CLINICAL), "age")
 
 
 def silver_financial(spark, folder):
-    return medallion.silver(FINANCIAL, _bronze(spark, folder, FINANCIAL))
+    return _silver(spark, folder, FINANCIAL)
 
 
 GOLD_NAMES = {s.name: {lc: gc for _, _, _, gc, lt, lc in medallion.name_map(SILVER) if lt == s.name} for s in SILVER}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlake.session import ship
@@ -23,10 +23,6 @@ def first_delivery(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     loaded_at and ``columns``.
     """
     keep = ["load_id", "loaded_at", *[c for c in columns if c not in ("load_id", "loaded_at")]]
-    one = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(F.struct(*keep)).alias("_first"))
-        .select(key, "_first.*")
-    )
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*keep))  # limited to one row a key before the shuffle, too
+    one = df.where(F.col(key).isNotNull()).select(key, *keep).withColumn("_first", first).where("_first = 1").drop("_first")
     return one.unionByName(df.where(F.col(key).isNull()).select(key, *keep))
