@@ -58,6 +58,34 @@ def originals(edges: DataFrame, gold: DataFrame) -> DataFrame:
     return named.unionByName(inherited)
 
 
+def dictionary(profiles: DataFrame, names: DataFrame, samples: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
+    """The data dictionary: one row per column of every layer, with its original name, what the profile says, and its first values.
+
+    ``profiles`` has (layer, table_name, column_name, ordinal) and profile columns,
+    ``names`` is ``originals``; a column that is not in it is an original itself.
+    ``given`` has descriptions of (table_name, column_name); others speak of the
+    original name.
+    """
+    n = names.select("column_name", F.col("original_name").alias("_original"), F.col("sources").alias("_sources"), F.col("expression").alias("_expression"))
+    j = profiles.join(n, "column_name", "left").withColumn("original_name", F.coalesce("_original", "column_name"))
+    j = j.withColumn("source_columns", F.coalesce("_sources", F.array("column_name"))).withColumn("expression", F.coalesce("_expression", "column_name"))
+    own = described(j.withColumn("_physical", F.col("column_name")).withColumn("column_name", F.col("original_name"))).withColumn("column_name", F.col("_physical"))
+    if given is not None:
+        g = given.select("table_name", "column_name", F.nullif("description", F.lit("")).alias("_given"))
+        own = own.join(g, ["table_name", "column_name"], "left").withColumn("description", F.coalesce("_given", "description"))
+    kept = ["layer", "table_name", "column_name", "ordinal", "original_name", "source_columns", "expression", "data_type", "description", "null_pct", "unique_count"]
+    if samples is None:
+        return own.select(*kept, F.array().cast("array<string>").alias("sample_values"))
+    return own.join(samples, ["table_name", "column_name"], "left").select(*kept, F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"))
+
+
+def carried(profiles: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Profiles of gold views: a view only renames, so its columns have the figures of the silver ones."""
+    m = mapping.select(F.col("silver_table").alias("table_name"), F.col("silver_column").alias("column_name"), "gold_view", "gold_column")
+    rest = [c for c in profiles.columns if c not in ("layer", "table_name", "column_name")]
+    return profiles.where("layer = 'silver'").join(m, ["table_name", "column_name"]).select(F.lit("gold").alias("layer"), F.col("gold_view").alias("table_name"), F.col("gold_column").alias("column_name"), *rest)
+
+
 def primary_keys(profiles: DataFrame) -> DataFrame:
     """(table_name, primary_key): the first unique column ending in _id, else <entity>_id or id, else the first column.
 
@@ -100,6 +128,17 @@ def relationship_keys(links: DataFrame, lineage: DataFrame) -> DataFrame:
     )
 
 
+MOST_NAMED = 10  # attributes that a description names
+
+
+def entity_text(table: str, attributes: str) -> F.Column:
+    """A description of an entity from its first attributes."""
+    each = F.split(F.coalesce(F.col(attributes), F.lit("")), ", ")
+    more = F.size(each) - MOST_NAMED
+    named = F.concat(singular(F.col(table)), F.lit(" records with "), F.array_join(F.slice(each, 1, MOST_NAMED), ", "))
+    return F.when(more > 0, F.concat(named, F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(named)
+
+
 def entities(columns: DataFrame, keys: DataFrame, lineage: DataFrame) -> DataFrame:
     """One row per raw table: name, source file, key, attributes without the key, and its silver table by the key's first lineage."""
     attributes = (
@@ -108,6 +147,6 @@ def entities(columns: DataFrame, keys: DataFrame, lineage: DataFrame) -> DataFra
     first = lineage.withColumn("_r", F.row_number().over(Window.partitionBy("bronze_table", "bronze_column").orderBy("ordinal"))).where("_r = 1")
     reach = first.select(F.regexp_replace("bronze_table", "^(.*?)bronze_", "$1").alias("table_name"), F.col("bronze_column").alias("primary_key"), "silver_table", "gold_view")
     return keys.join(F.broadcast(attributes), "table_name", "left").join(F.broadcast(reach), ["table_name", "primary_key"], "left").select(
-        singular(F.col("table_name")).alias("entity"), F.concat("table_name", F.lit(".csv")).alias("source_file"), "primary_key", F.coalesce("attributes", F.lit("")).alias("attributes"),
+        singular(F.col("table_name")).alias("entity"), entity_text("table_name", "attributes").alias("description"), F.concat("table_name", F.lit(".csv")).alias("source_file"), "primary_key", F.coalesce("attributes", F.lit("")).alias("attributes"),
         F.coalesce("silver_table", F.lit("N/A")).alias("silver_table"), F.coalesce("gold_view", F.lit("N/A")).alias("gold_view"),
     )

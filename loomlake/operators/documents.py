@@ -22,10 +22,10 @@ def parts(*labelled: tuple[str, F.Column]) -> F.Column:
 
 
 def dictionary_documents(d: DataFrame) -> DataFrame:
-    """One per column of (layer, table_name, column_name, original_name, description, data_type, null_pct, unique_count)."""
+    """One per row of the data dictionary; statistics go into the metadata only."""
     c = F.col
     text = parts(("Description", c("description")), ("Original Name", c("original_name")), ("Column", c("column_name")), ("Table", c("table_name")), ("Layer", c("layer")), ("Type", c("data_type")))
-    return _doc(d, "data_dictionary", "data_dictionary", id_text(F.lit("dict"), c("layer"), c("table_name"), c("column_name")), text, layer=c("layer"), table=c("table_name"), column=c("column_name"), original_name=c("original_name"), null_pct=c("null_pct"), unique_count=c("unique_count"))
+    return _doc(d, "data_dictionary", "data_dictionary", id_text(F.lit("dict"), c("layer"), c("table_name"), c("column_name")), text, layer=c("layer"), table=c("table_name"), column=c("column_name"), original_name=c("original_name"), null_pct=c("null_pct"), unique_count=c("unique_count"), sample_values=F.array_join(c("sample_values"), ", "))
 
 
 def layer_rank(layer: F.Column) -> F.Column:
@@ -46,7 +46,7 @@ def concept_documents(d: DataFrame) -> DataFrame:
 
 def entity_documents(e: DataFrame) -> DataFrame:
     c = F.col
-    text = parts(("Entity", c("entity")), ("Source", c("source_file")), ("Primary Key", c("primary_key")), ("Attributes", c("attributes")), ("Silver Table", c("silver_table")), ("Gold View", c("gold_view")))
+    text = parts(("Entity", c("entity")), ("Description", c("description")), ("Source", c("source_file")), ("Primary Key", c("primary_key")), ("Attributes", c("attributes")), ("Silver Table", c("silver_table")), ("Gold View", c("gold_view")))
     return _doc(e, "ontology", "entity", id_text(F.lit("entity"), c("entity")), text, entity=c("entity"))
 
 
@@ -78,6 +78,13 @@ def chain_documents(e: DataFrame) -> DataFrame:
     return _doc(e, "pbi_lineage", "pbi_end_to_end", id_text(F.lit("pbi_e2e"), c("bi_table"), c("bi_column")), text, pbi_column=c("bi_column"), pbi_table=c("bi_table"), gold_column=c("gold_column"), bronze_column=c("bronze_column"), source_column=c("source_column"))
 
 
+def column_lineage_documents(b: DataFrame) -> DataFrame:
+    """Each semantic column with the gold column it shows."""
+    c = F.col
+    text = parts(("PBI Column Lineage", c("bi_column")), ("PBI", F.concat_ws(".", "bi_table", "bi_column")), ("Dataset", c("dataset")), ("Gold", F.concat_ws(".", "gold_view", "gold_column")), ("DataType", c("bi_type")))
+    return _doc(b, "pbi_lineage", "pbi_column_lineage", id_text(F.lit("pbi_lineage"), c("bi_table"), c("bi_column")), text, pbi_column=c("bi_column"), pbi_table=c("bi_table"), gold_view=c("gold_view"), gold_column=c("gold_column"))
+
+
 def column_documents(b: DataFrame) -> DataFrame:
     c = F.col
     text = parts(("PBI Column", c("bi_column")), ("Table", c("bi_table")), ("Dataset", c("dataset")), ("Type", c("bi_type")), ("Gold", F.concat_ws(".", "gold_view", "gold_column")))
@@ -104,10 +111,27 @@ def dashboard_documents(h: DataFrame) -> DataFrame:
     return listing.unionByName(_doc(h, "pbi_catalog", "pbi_artifact_relationship", id_text(F.lit("pbi_rel"), c("dashboard")), text, dashboard_name=c("dashboard")))
 
 
-def summary_document(docs: DataFrame) -> DataFrame:
-    """One document that counts the others by type."""
-    counts = docs.groupBy(F.element_at("metadata", "type").alias("type")).agg(F.count("*").alias("n"))
-    text = counts.agg(F.array_join(F.array_sort(F.collect_list(F.concat("type", F.lit(": "), F.col("n").cast("string")))), " | ").alias("t"))
+def summary_document(dictionary: DataFrame, entities: DataFrame, relationships: DataFrame, lineage: DataFrame, hierarchy: DataFrame, measures: DataFrame, columns: DataFrame, chains: DataFrame) -> DataFrame:
+    """One document on the whole catalog: how many of what there is, and its names, counted from the frames themselves."""
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
+    n = lambda df, *aggs: df.agg(F.count("*").cast("string").alias("n"), *aggs)
+    layers = dictionary.groupBy("layer").agg(F.count("*").alias("n"), names("table_name").alias("t"), F.count_distinct("table_name").alias("k")).withColumn("_k", layer_rank(F.col("layer")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.concat(F.initcap("layer"), F.lit(" ("), F.col("k").cast("string"), F.lit(" tables: "), F.col("t"), F.lit(")")).alias("x")))), lambda x: x["x"]), ", ")
+    facts = [
+        layers.agg(F.concat(F.lit("Data Dictionary: "), F.sum("k").cast("string"), F.lit(" tables, "), F.sum("n").cast("string"), F.lit(" columns: "), listed).alias("x")),
+        n(entities, names("entity").alias("t")).select(F.concat(F.lit("Ontology: "), "n", F.lit(" entities ("), "t", F.lit(")")).alias("x")),
+        n(relationships).select(F.concat(F.lit("Relationships: "), "n").alias("x")),
+        n(lineage).select(F.concat(F.lit("Lineage: "), "n", F.lit(" columns from source to gold")).alias("x")),
+        hierarchy.agg(F.concat(F.lit("Power BI: "), F.count("*").cast("string"), F.lit(" dashboards ("), names("dashboard"), F.lit(") with "), F.coalesce(F.sum("n_tiles"), F.lit(0)).cast("string"), F.lit(" tiles")).alias("x")),
+        n(measures, names("measure").alias("t")).select(F.concat(F.lit("Measures: "), "n", F.lit(" ("), "t", F.lit(")")).alias("x")),
+        n(columns).select(F.concat(F.lit("Column mappings: "), "n").alias("x")),
+        n(chains).select(F.concat(F.lit("End-to-End Lineage: "), "n", F.lit(" chains")).alias("x")),
+    ]
+    every = None
+    for k, f in enumerate(facts):
+        f = f.select(F.lit(k).alias("k"), "x")
+        every = f if every is None else every.unionByName(f)
+    text = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda x: x["x"]), " | ").alias("t"))
     return _doc(text, "data_dictionary", "catalog_summary", F.lit("catalog_summary"), F.concat(F.lit("CATALOG SUMMARY | "), F.col("t")))
 
 

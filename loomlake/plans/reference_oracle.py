@@ -188,21 +188,7 @@ _CASES = """cases as (select doc_id, lang as domain, (coalesce(n_chars, 0) % 3)
 scored as (select *, case when len(e) = 0 then 1.0 else len(list_filter(e, lambda x: list_contains(e[1:2], x))) * 1.0 / len(e) end as context_recall from cases)"""
 _METRICS = ("context_precision", "context_recall", "faithfulness", "answer_relevancy")
 
-_CONCEPT = f"""{LINEAGE}, cols as (
-  select 0 as k, 'bronze' as layer, source_table as t, source_column as c, source_column as o from edges group by all
-  union all select 1, 'silver', silver_table, silver_column, (select source_column from edges e where e.target_column = silver_column order by ordinal limit 1) from mapping
-  union all select 2, 'gold', gold_view, gold_column, (select source_column from edges e where e.target_column = silver_column order by ordinal limit 1) from mapping)"""
-
-_DOCS = f"""with {_KEYS}, {_CONCEPT}, {BI}, {_TILES}, {_MEASURES}, {_REPORTS}, {_DASH}, docs as (
-  select 'data_dictionary' as collection, 'data_dictionary' as type, count(*) as n from cols union all select 'data_dictionary', 'concept', count(distinct o) from cols
-  union all select 'data_dictionary', 'catalog_summary', 1 union all select 'ontology', 'entity', count(*) from keys union all select 'ontology', 'relationship', count(*) from links
-  union all select 'lineage', 'lineage', count(*) from edges union all select 'pbi_lineage', 'pbi_end_to_end', count(*) from bi union all select 'pbi_catalog', 'pbi_column', count(*) from bi
-  union all select 'pbi_catalog', 'pbi_measure', count(*) from measures union all select 'pbi_catalog', 'pbi_report', count(distinct report) from tiles join reports using (report_id)
-  union all select 'pbi_catalog', 'pbi_dashboard', count(*) from dashboards union all select 'pbi_catalog', 'pbi_artifact_relationship', count(*) from dashboards)"""
-
 ORACLE = {
-    "catalog_summary_counts": f"{_DOCS} select collection, type, n as n_documents from docs",
-    "collection_counts": f"{_DOCS} select collection, cast(sum(n) as bigint) as n_documents from docs group by 1",
     "bronze_scan_rowcounts": " union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in COUNTED),
     "bronze_clean_patients": "select " + ", ".join(f"case when {c} not in ({NA}) then {c} end as {c}" for c in _PATIENTS) + f" from {first('patients')}",
     "bronze_csv_roundtrip": "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier",
@@ -251,6 +237,8 @@ select parent, child, column_name, 'one_to_many' as relationship_type, case when
     "ontology_entities": f"""with {_KEYS}, {LINEAGE}, firsts as (select * from (select *, row_number() over (partition by bronze_table, bronze_column order by ordinal) as r from lin) where r = 1),
 attrs as (select p.table_name, string_agg(p.column_name, ', ' order by p.ordinal) as attributes from profs p join keys k using (table_name) where p.column_name <> k.primary_key group by 1)
 select regexp_replace(upper(k.table_name[1]) || k.table_name[2:], 's+$', '') as entity, k.table_name || '.csv' as source_file, k.primary_key, coalesce(attributes, '') as attributes,
+  regexp_replace(upper(k.table_name[1]) || k.table_name[2:], 's+$', '') || ' records with ' || array_to_string(string_split(coalesce(attributes, ''), ', ')[1:10], ', ') ||
+    case when len(string_split(coalesce(attributes, ''), ', ')) > 10 then ' and ' || (len(string_split(attributes, ', ')) - 10) || ' more' else '' end as description,
   coalesce(f.silver_table, 'N/A') as silver_table, coalesce(f.gold_view, 'N/A') as gold_view
 from keys k left join attrs using (table_name) left join firsts f on f.bronze_table = 'bronze_' || k.table_name and f.bronze_column = k.primary_key""",
     "lineage_b2s": f"with {EDGES} select * from edges",
@@ -274,9 +262,6 @@ from dashboards d left join tiles t using (dashboard_id) left join reports r usi
 select t.tile_id, coalesce(d.dashboard, 'Unknown') as dashboard, t.tile, coalesce(r.report, 'Unknown') as report, coalesce(s.dataset, 'Unknown') as dataset, coalesce(s.bi_table, 'Unknown') as bi_table, m.measure
 from tiles t left join dashboards d using (dashboard_id) left join reports r using (report_id) left join datasets s using (dataset_id) left join matched m on m.tile_id = t.tile_id""",
     "refresh_history_top": "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) where r <= 3",
-    "concept_documents": f"""with {_CONCEPT}
-select 'concept_' || o as id, 'Concept: ' || o || ' | Description: ' || {_TITLE.format(c='o')} || ' | Appears across layers: ' || string_agg(layer || '.' || t || '.' || c, ' -> ' order by k, layer || '.' || t || '.' || c) as document
-from cols group by o""",
     "upsert_documents": "select doc_id, case when lang = 'de' then 'replaced' else coalesce(text, '') end as text from documents union all select -1, 'added'",
     "dedup_prefix_100": "select min(doc_id) as doc_id from documents where text is not null group by substring(text, 1, 100)",
     "tokenize_questions": f"with {_QUESTIONS}, {tokens_sql('questions')} select query_id, token from toks",

@@ -303,39 +303,55 @@ def artifact_tiles(spark, folder):
     return semantic.tile_graph(semantic.artifact_frames(spark))
 
 
+def refresh_history(spark, folder):
+    """The last refresh of each dataset, and the one before."""
+    return semantic.newest(semantic.artifact_frames(spark)["refreshes"], "dataset_id", [F.desc("started"), F.desc("request_id")], 2).select("dataset_id", "request_id", "status")
+
+
 def refresh_history_top(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     return semantic.newest(orders, "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
 
 
-def _dictionary_rows(spark):
-    """Bronze, silver and gold columns with their original names."""
-    edges, gold = lineage.bronze_to_silver(spark), lineage.silver_to_gold(spark)
-    names = catalog.originals(edges, gold)
-    b = edges.select(F.lit("bronze").alias("layer"), F.col("source_table").alias("table_name"), F.col("source_column").alias("column_name"), F.col("source_column").alias("original_name")).distinct()
-    s = gold.join(F.broadcast(names), gold["silver_column"] == names["column_name"]).select(F.lit("silver").alias("layer"), F.col("silver_table").alias("table_name"), "column_name", "original_name")
-    g = gold.join(F.broadcast(names), gold["gold_column"] == names["column_name"]).select(F.lit("gold").alias("layer"), F.col("gold_view").alias("table_name"), "column_name", "original_name")
-    every = b.unionByName(s).unionByName(g)
-    return every.withColumn("description", X.titled(F.col("original_name"))).withColumn("data_type", F.lit("object")).withColumn("null_pct", F.lit(0.0)).withColumn("unique_count", F.lit(0))
+def _layer_profiles(spark, folder):
+    """Profiles of every column of the three layers; gold has those of silver under its own names."""
+    out = _all_profiles(spark, folder).withColumn("layer", F.lit("bronze")).withColumn("table_name", F.concat(F.lit("bronze_"), "table_name"))
+    for spec in SILVER:
+        names = {lc: (st, sc) for st, sc, _, _, lt, lc in medallion.name_map(SILVER) if lt == spec.name}
+        df = _silver(spark, folder, spec)
+        order = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (names[c][1], i)])
+        p = profile.profile(df.withColumnsRenamed({c: names[c][1] for c in df.columns})).withColumn("layer", F.lit("silver")).withColumn("table_name", F.lit(names[df.columns[0]][0]))
+        out = out.unionByName(p.withColumn("ordinal", F.element_at(order, F.col("column_name"))))
+    out = durable(out)
+    return out.unionByName(catalog.carried(out, lineage.silver_to_gold(spark)))
+
+
+def _dictionary(spark, folder):
+    return durable(catalog.dictionary(_layer_profiles(spark, folder), catalog.originals(lineage.bronze_to_silver(spark), lineage.silver_to_gold(spark))))
+
+
+def dictionary_full(spark, folder):
+    d = _dictionary(spark, folder).withColumn("source_columns", F.array_join("source_columns", ",")).drop("ordinal", "sample_values")
+    return d
 
 
 def concept_documents(spark, folder):
-    return documents.concept_documents(_dictionary_rows(spark)).select("id", "document")
+    return documents.concept_documents(_dictionary(spark, folder)).select("id", "document")
 
 
 def _catalog_docs(spark, folder):
     a = semantic.artifact_frames(spark)
-    rows, l, cols = _dictionary_rows(spark), _lineage(spark), lineage.bi_columns(spark)
-    docs = documents.dictionary_documents(rows)
+    rows, l, cols = _dictionary(spark, folder), _lineage(spark), lineage.bi_columns(spark)
     columns, keys, links = _links(spark, folder)
+    entities, related, chains, shown = catalog.entities(columns, keys, l), catalog.relationship_keys(_bronze_links(links), l), lineage.end_to_end(cols, l), semantic.hierarchy(a)
+    docs = documents.dictionary_documents(rows)
     for part in (
-        documents.concept_documents(rows), documents.entity_documents(catalog.entities(columns, keys, l)),
-        documents.relationship_documents(catalog.relationship_keys(_bronze_links(links), l)), documents.lineage_documents(l),
-        documents.chain_documents(lineage.end_to_end(cols, l)), documents.column_documents(cols), documents.measure_documents(a["measures"]),
-        documents.report_documents(semantic.tile_graph(a)), documents.dashboard_documents(semantic.hierarchy(a)),
+        documents.concept_documents(rows), documents.entity_documents(entities), documents.relationship_documents(related), documents.lineage_documents(l), documents.column_lineage_documents(cols),
+        documents.chain_documents(chains), documents.column_documents(cols), documents.measure_documents(a["measures"]), documents.report_documents(semantic.tile_graph(a)), documents.dashboard_documents(shown),
+        documents.summary_document(rows, entities, related, l, shown, a["measures"], cols, chains),
     ):
         docs = docs.unionByName(part)
-    return docs.unionByName(documents.summary_document(docs))
+    return docs
 
 
 def catalog_documents(spark, folder):
@@ -640,7 +656,7 @@ QUERIES = {
         bi_clinical_measures, bi_financial_measures, bi_financial_totals, bi_measures_rollup, bi_measures_cube, profile_visits, profile_orders, profile_customer, profile_samples,
         dq_suite_visits, dq_summary, dq_checked_load, catalog_columns, catalog_tables_like, catalog_schemas, catalog_view_registry, dictionary_descriptions, dictionary_originals, pk_detection, fk_detection,
         ontology_join_keys, ontology_entities, lineage_b2s, lineage_joined, lineage_by_target, lineage_e2e, view_lineage_parse, plan_lineage, tile_measure_match, artifact_hierarchy, artifact_tiles,
-        refresh_history_top, concept_documents, catalog_documents, catalog_summary_counts, upsert_documents, dedup_prefix_100, tokenize_questions, tokenize_documents, tokenize_posts, keyword_lookup, catalog_keyword_hits,
+        refresh_history, refresh_history_top, dictionary_full, concept_documents, catalog_documents, catalog_summary_counts, upsert_documents, dedup_prefix_100, tokenize_questions, tokenize_documents, tokenize_posts, keyword_lookup, catalog_keyword_hits,
         knn_cosine_topk, rrf_fusion, feedback_boost, threshold_fallback, mmr_select, collection_coverage, missing_collections, catalog_retrieval, catalog_contexts, route_questions, route_fixed_questions,
         verify_citations, cited_numbers, assess_quality, eval_context_recall, eval_context_precision, eval_averages, eval_domain_breakdown, eval_judged_answers, feedback_retention, feedback_last_100,
         jsonl_log_roundtrip, push_append_counts, fenced_json, mapping_keys, strip_nested_fields, ask_catalog, feedback_chunks, collection_counts, stream_events_tumbling, stream_bronze_append,

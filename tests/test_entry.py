@@ -7,7 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
-from loomlake.plans import data_oracle, data_queries, reference_oracle, reference_queries
+from loomlake.plans import catalog_oracle, data_oracle, data_queries, reference_oracle, reference_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,7 +31,7 @@ def test_names():
     assert len(reference_queries.QUERIES) >= 70
 
 
-CORE = [n for n in [*reference_queries.QUERIES, *data_queries.QUERIES] if n in reference_oracle.ORACLE or n in data_oracle.ORACLE]
+CORE = [n for n in [*reference_queries.QUERIES, *data_queries.QUERIES] if n in reference_oracle.ORACLE | catalog_oracle.ORACLE | data_oracle.ORACLE]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
