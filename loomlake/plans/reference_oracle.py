@@ -265,7 +265,7 @@ from tiles t left join dashboards d using (dashboard_id) left join reports r usi
     "upsert_documents": "select doc_id, case when lang = 'de' then 'replaced' else coalesce(text, '') end as text from documents union all select -1, 'added'",
     "dedup_prefix_100": "select min(doc_id) as doc_id from documents where text is not null group by substring(text, 1, 100)",
     "tokenize_questions": f"with {_QUESTIONS}, {tokens_sql('questions')} select query_id, token from toks",
-    "tokenize_documents": f"with {_ASKING}, {tokens_sql('asking')} select query_id, token from toks",
+    "tokenize_documents": f"with posts as (select doc_id as query_id, text as question from documents), {tokens_sql('posts')} select query_id, token from toks",
     "keyword_lookup": f"""with {_ASKING}, {tokens_sql('asking')}, tag as (select doc_id as item_id, unnest(string_split(tags, '|')) as value, generate_subscripts(string_split(tags, '|'), 1) as pos from documents where tags is not null),
 hits as (select query_id, item_id, round(sum(1.0 / pos), 4) as score from tag join toks on value = token group by 1, 2)
 select * from (select query_id, item_id, score, row_number() over (partition by query_id order by score desc, item_id) as rank from hits) where rank <= 10""",

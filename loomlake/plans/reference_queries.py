@@ -390,12 +390,6 @@ def tokenize_questions(spark, folder):
 
 
 def tokenize_documents(spark, folder):
-    """The same over texts: posts whose id is divisible by 100."""
-    d = table(spark, folder, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
-    return retrieval.tokens(d)
-
-
-def tokenize_posts(spark, folder):
     """The same over every post."""
     return retrieval.tokens(table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")))
 
@@ -680,7 +674,7 @@ QUERIES = {
         bi_clinical_measures, bi_financial_measures, bi_financial_totals, bi_measures_rollup, bi_measures_cube, profile_visits, profile_orders, profile_customer, profile_samples,
         dq_suite_visits, dq_summary, dq_checked_load, catalog_columns, catalog_tables_like, catalog_schemas, catalog_view_registry, dictionary_descriptions, dictionary_originals, pk_detection, fk_detection,
         ontology_join_keys, ontology_entities, lineage_b2s, lineage_joined, lineage_by_target, lineage_e2e, view_lineage_parse, plan_lineage, tile_measure_match, artifact_hierarchy, artifact_tiles,
-        refresh_history, refresh_history_top, dictionary_full, concept_documents, catalog_documents, catalog_summary_counts, upsert_documents, dedup_prefix_100, tokenize_questions, tokenize_documents, tokenize_posts, keyword_lookup, catalog_keyword_hits,
+        refresh_history, refresh_history_top, dictionary_full, concept_documents, catalog_documents, catalog_summary_counts, upsert_documents, dedup_prefix_100, tokenize_questions, tokenize_documents, keyword_lookup, catalog_keyword_hits,
         knn_cosine_topk, rrf_fusion, feedback_boost, threshold_fallback, mmr_select, collection_coverage, missing_collections, catalog_retrieval, catalog_contexts, route_questions, route_fixed_questions,
         verify_citations, cited_numbers, assess_quality, eval_context_recall, eval_context_precision, eval_averages, eval_domain_breakdown, eval_judged_answers, evaluation_run, retrieval_sources, feedback_retention, feedback_last_100,
         jsonl_log_roundtrip, push_append_counts, fenced_json, mapping_keys, strip_nested_fields, ask_catalog, feedback_chunks, collection_counts, stream_events_tumbling, stream_bronze_append,

@@ -338,7 +338,7 @@ def test_collections_are_replaced_one_by_one(spark, tmp_path):
 
 def test_every_post_is_tokenized(spark, folder):
     at = folder(documents=[{"doc_id": i, "text": t} for i, t in ((1, "Why BillAmount?"), (7, None), (99, "copay"), (100, "visits, dob"), (101, ""))])
-    assert set(rows(R.QUERIES["tokenize_posts"](spark, at))) == {(1, "BillAmount"), (1, "billamount"), (99, "copay"), (100, "visits"), (100, "dob")}
+    assert set(rows(R.QUERIES["tokenize_documents"](spark, at))) == {(1, "BillAmount"), (1, "billamount"), (99, "copay"), (100, "visits"), (100, "dob")}
 
 
 def test_evaluation_run(spark, tmp_path):
