@@ -79,10 +79,10 @@ def enumerate_patterns(hist: np.ndarray, capacity: int) -> tuple[np.ndarray, np.
     return both[:, :3], both[:, 3:]
 
 
-def fit(lengths: np.ndarray, times: np.ndarray, hist: np.ndarray, rounds: int = 300) -> np.ndarray:
+def fit(lengths: np.ndarray, times: np.ndarray, hist: np.ndarray, capacity: int = CAPACITY, rounds: int = 300) -> np.ndarray:
     """Non-negative least squares by accelerated projected gradients on the sparse pattern matrix."""
     size = len(hist)
-    weight = np.where(np.arange(size) <= CAPACITY // 8, SHORT_WEIGHT, 1.0)
+    weight = np.where(np.arange(size) <= capacity // 8, SHORT_WEIGHT, 1.0)
     t = times.astype(float)
 
     def forward(x):
@@ -122,7 +122,7 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY) -> Plan:
     if left.any():
         lengths, times = enumerate_patterns(left, capacity)
         if len(lengths):
-            x = fit(lengths, times, left)
+            x = fit(lengths, times, left, capacity)
             for p in np.argsort(-x, kind="stable"):
                 k = int(np.floor(x[p] + 1e-9))
                 if k < 1:
