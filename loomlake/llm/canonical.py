@@ -425,5 +425,5 @@ def mapped(values: DataFrame, listed: list[tuple[str, str, str]], aliases: list[
 
     case = F.col("value").isNotNull() & (F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
     verbatim = spark.createDataFrame([(f, v) for f, _, v in listed], "field_name string, value string")
-    cases = values.where(case).join(verbatim, ["field_name", "value"], "left_anti")
+    cases = values.where(case).join(F.broadcast(verbatim), ["field_name", "value"], "left_anti")  # MOST_PATTERNS rows at most
     return cases.select("field_name", "record_key", "value").mapInArrow(work, "field_name string, record_key string, canonical_id string")
