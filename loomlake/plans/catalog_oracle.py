@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomlake.operators.medallion import name_map
+from loomlake.operators.retrieval import PROBES, TYPE_WORDS
 from loomlake.plans import reference_oracle as R
 from loomlake.plans.reference_oracle import BI, CLINICAL_SQL, FINANCIAL_SQL, LINEAGE, profile_sql, values
 from loomlake.plans.specs import DATASETS, REFRESHES, SILVER
@@ -64,7 +65,28 @@ docs as (
     'PBI Artifact Hierarchy: Dashboard ''' || dashboard || ''' -> contains Tiles -> linked to Reports: ' || reports || ' -> Reports use Datasets: ' || datasets from shown)"""
 
 _LAST = f"select *, row_number() over (partition by dataset_id order by started desc, request_id desc) as r from {values(REFRESHES, 'dataset_id, kind, started, ended, status, request_id')}"
+# what a document can be found by: (id, field, value), written apart from the documents' metadata
+_FOUND_BY = """by_field as (
+  select 'data_dictionary' as collection, 'dict_' || layer || '_' || table_name || '_' || column_name as id, unnest(['column', 'original_name']) as field, unnest([column_name, original_name]) as value from dict
+  union all select distinct 'data_dictionary', 'concept_' || original_name, 'original_name', original_name from dict
+  union all select 'lineage', 'lineage_' || silver_table || '_' || k || '_' || source_column, unnest(['source_column', 'silver_column', 'gold_column']), unnest([source_column, silver_column, gold_column])
+    from (select *, row_number() over (partition by silver_table order by ordinal) - 1 as k from lin)
+  union all select 'ontology', 'entity_' || entity, 'entity', entity from entity
+  union all select 'pbi_lineage', 'pbi_lineage_' || bi_table || '_' || bi_column, unnest(['pbi_column', 'gold_column']), unnest([bi_column, gold_column]) from bi
+  union all select 'pbi_lineage', 'pbi_e2e_' || bi_table || '_' || bi_column, unnest(['pbi_column', 'gold_column', 'bronze_column', 'source_column']), unnest([bi_column, gold_column, bronze_column, source_column]) from chains
+  union all select 'pbi_catalog', 'pbi_col_' || bi_table || '_' || bi_column, 'pbi_column', bi_column from bi
+  union all select 'pbi_catalog', replace('pbi_measure_' || bi_table || '_' || measure, ' ', '_'), 'measure_name', measure from measures
+  union all select distinct 'pbi_catalog', replace('pbi_report_' || report, ' ', '_'), 'report_name', report from tiles join reports using (report_id)
+  union all select 'pbi_catalog', unnest([replace('pbi_dashboard_' || dashboard, ' ', '_'), replace('pbi_rel_' || dashboard, ' ', '_')]), 'dashboard_name', dashboard from shown)"""
+_HITS = f"""{DOCUMENTS}, {R._QUESTIONS}, {R.tokens_sql('questions')}, {_FOUND_BY},
+probe as (select * from {values(PROBES, 'collection, field, score')}), words as (select * from {values([(w, c, k, x) for ws, c, k, x in TYPE_WORDS for w in ws.split()], 'word, collection, type, score')}),
+hits as (
+  select t.query_id, d.collection, d.id, d.document, p.score from toks t join by_field b on b.value = t.token or b.field = 'entity' and b.value = upper(t.token[1]) || lower(t.token[2:])
+    join probe p using (collection, field) join docs d using (collection, id)
+  union all select t.query_id, d.collection, d.id, d.document, w.score from toks t join words w on w.word = lower(t.token) join docs d using (collection, type))
+select query_id, collection, id, cast(score as double) as score from (select *, row_number() over (partition by query_id, document[1:100] order by score desc, collection, id) as r from hits) where r = 1"""
 ORACLE = {
+    "catalog_keyword_hits": f"with {_HITS}",
     "dictionary_full": f"with {DICTIONARY} select layer, table_name, column_name, original_name, source_columns, expression, data_type, description, null_pct, unique_count from dict",
     "concept_documents": f"with {DICTIONARY} {_CONCEPTS}",
     "catalog_documents": f"with {DOCUMENTS} select collection, id, document, type from docs",
