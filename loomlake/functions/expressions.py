@@ -106,7 +106,7 @@ def question_tokens(question: Column) -> Column:
     """Distinct candidate identifiers of a question: no stop words, numbers or single characters; each also in lower case."""
     raw = F.split(F.trim(F.regexp_replace(question, "[,?.]", " ")), r"[ \t\r\n]+")
     clean = F.transform(raw, lambda t: F.btrim(t, F.lit(PUNCTUATION)))
-    kept = F.filter(clean, lambda t: (F.length(t) > 1) & ~t.rlike(r"^[0-9]+$") & ~F.lower(t).isin(*STOP_WORDS))
+    kept = F.filter(clean, lambda t: (F.length(t) > 1) & ~t.rlike(r"^\p{Nd}+$") & ~F.lower(t).isin(*STOP_WORDS))
     return F.array_distinct(F.concat(kept, F.transform(kept, F.lower)))
 
 

@@ -152,7 +152,7 @@ _STOP = ", ".join(map(q, STOP_WORDS))
 def tokens_sql(source: str) -> str:
     """(query_id, token) of a source with (query_id, question)."""
     return f"""raw as (select query_id, trim(unnest(regexp_split_to_array(trim(regexp_replace(question, '[,?.]', ' ', 'g')), '[ \\t\\r\\n]+')), '''"`()[]{{}}!@#$%^&*') as t from {source} where question is not null),
-kept as (select query_id, t from raw where length(t) > 1 and not regexp_full_match(t, '[0-9]+') and lower(t) not in ({_STOP})),
+kept as (select query_id, t from raw where length(t) > 1 and not regexp_full_match(t, '\\p{{Nd}}+') and lower(t) not in ({_STOP})),
 toks as (select distinct query_id, token from (select query_id, t as token from kept union all select query_id, lower(t) from kept))"""
 
 

@@ -432,3 +432,8 @@ def test_pipeline_writes_every_table(spark, folder):
     assert {r[0] for r in read("data_quality").select("table_name").distinct().collect()} >= {"bronze_patients", silver, gold}
     assert sorted(set(done) - {k for k in done if k[:4] in ("bron", "silv", "gold", "pbi_")}) == ["_column_lineage", "catalog_documents", "data_dictionary", "data_quality", "lineage", "ontology_entities", "ontology_relationships"]
     spark.sql("drop database loom_test cascade")
+
+
+def test_numbers_in_any_script_are_no_tokens(spark):
+    q = spark.createDataFrame([(1, "42 ٤٢ x1 order")], "query_id long, question string")
+    assert {t for _, t in rows(retrieval.tokens(q))} == {"x1", "order"}
