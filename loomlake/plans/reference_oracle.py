@@ -292,6 +292,11 @@ select answer_id, len(bad) = 0 as valid, array_to_string(bad, ',') as invalid fr
     "feedback_last_100": "select event_id from events order by ts desc, event_id desc limit 100",
     "jsonl_log_roundtrip": "select event_id, user_id, event_type, round(value, 4) as value from events",
     "push_append_counts": "select 'clinical' as dataset_id, 'PatientClinical' as table_name, count(*) as n_rows from nation union all select 'financial', 'FinancialRecords', count(*) from supplier",
+    "stream_events_sliding": """select strftime(d, '%Y-%m-%d') as day, event_type, count(*) as n_events, round(sum(value), 2) as total
+from (select unnest([cast(ts as date), cast(ts as date) - 1]) as d, event_type, value from events) group by 1, 2""",
+    "stream_events_sessions": """with marked as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as first from events),
+numbered as (select user_id, ts, sum(first) over (partition by user_id order by ts rows unbounded preceding) as s from marked)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, strftime(max(ts) + interval 6 hours, '%Y-%m-%d %H:%M:%S') as session_end, count(*) as n_events from numbered group by user_id, s""",
     "stream_events_tumbling": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n_events, round(sum(value), 2) as total from events group by 1, 2",
     "fenced_json": f"""with r as (select * from {values(REPLIES, 'reply_id, reply')}), j as (select reply_id, nullif(regexp_extract(replace(replace(reply, '```json', ''), '```', ''), '(?s)(\\{{.*\\}})', 1), '') as t from r)
 select reply_id, json_extract_string(t, '$.a') as a, json_extract_string(t, '$.b') as b from j""",

@@ -661,6 +661,19 @@ def stream_events_tumbling(spark, folder):
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_events", "total")
 
 
+def stream_events_sliding(spark, folder):
+    """Two-day windows that begin every day."""
+    out = _streamed(spark, streams.windowed(_stream(spark, folder), "ts", "event_type", "value", "2 days", "1 day"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_events", "total")
+
+
+def stream_events_sessions(spark, folder):
+    """Sessions of each user, closed by six hours without an event."""
+    out = _streamed(spark, streams.sessions(_stream(spark, folder), "ts", "user_id", "6 hours"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("user_id", stamp("session_start"), stamp("session_end"), "n_events")
+
+
 def stream_bronze_append(spark, folder):
     at = scratch(spark)
     streams.to_folder(_stream(spark, folder).select("event_id", "user_id"), f"{at}/out", f"{at}/state")
@@ -677,6 +690,6 @@ QUERIES = {
         refresh_history, refresh_history_top, dictionary_full, concept_documents, catalog_documents, catalog_summary_counts, upsert_documents, dedup_prefix_100, tokenize_questions, tokenize_documents, keyword_lookup, catalog_keyword_hits,
         knn_cosine_topk, rrf_fusion, feedback_boost, threshold_fallback, mmr_select, collection_coverage, missing_collections, catalog_retrieval, catalog_contexts, route_questions, route_fixed_questions,
         verify_citations, cited_numbers, assess_quality, eval_context_recall, eval_context_precision, eval_averages, eval_domain_breakdown, eval_judged_answers, evaluation_run, retrieval_sources, feedback_retention, feedback_last_100,
-        jsonl_log_roundtrip, push_append_counts, fenced_json, mapping_keys, strip_nested_fields, ask_catalog, feedback_chunks, collection_counts, stream_events_tumbling, stream_bronze_append,
+        jsonl_log_roundtrip, push_append_counts, fenced_json, mapping_keys, strip_nested_fields, ask_catalog, feedback_chunks, collection_counts, stream_events_tumbling, stream_events_sliding, stream_events_sessions, stream_bronze_append,
     )
 }
